@@ -177,8 +177,9 @@ def sub_questions(
 def thoughts(evidences: Column | str = "evidences", templates: dict[str, str] | None = None) -> Column:
     """One sentence per triple, by relation; unlisted relations get the general one."""
     evidences = F.col(evidences) if isinstance(evidences, str) else evidences
-    entries = [F.lit(x) for pair in (templates or THOUGHT_TEMPLATES).items() for x in pair]
-    lookup = F.create_map(*entries)
+    quoted = ['"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"'
+              for pair in (templates or THOUGHT_TEMPLATES).items() for x in pair]
+    lookup = F.expr(f"map({', '.join(quoted)})")
 
     def sentence(e: Column) -> Column:
         text = F.try_element_at(lookup, e["relation"])

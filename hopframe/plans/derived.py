@@ -9,189 +9,136 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from hopframe.functions.text import strip_lines, token_count
+from hopframe.operators.examples import EXAMPLE_BUILDERS, prepare
+from hopframe.operators.facts import lookup_facts, resolve_facts
 
 MODELS = ("t5-small", "flan-t5-small", "opt-125m")
 STRATEGIES = ("direct", "self_ask", "chain_of_thought")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _money(c: str) -> Column:
-    return F.col(c).cast("decimal(12,2)").cast("string")
-
-
-def _ref(title: Column, sent: Column | int) -> Column:
-    sent = F.lit(sent) if isinstance(sent, int) else sent
-    return F.struct(title.alias("title"), sent.cast("int").alias("sent_id"))
-
+# Schemas of tables already seen; reading a footer again would be a job of its own.
+_KNOWN_SCHEMAS: dict[str, StructType] = {}
 
-def _triple(s: Column, r: str, o: Column) -> Column:
-    return F.struct(s.alias("subject"), F.lit(r).alias("relation"), o.alias("object"))
 
-
-def _par(title: Column, *sentences: Column) -> Column:
-    return F.struct(title.alias("title"), F.array(*sentences).alias("sentences"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _KNOWN_SCHEMAS:
+        _KNOWN_SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_KNOWN_SCHEMAS[path]).parquet(path)
 
 
-def _customer_par(p: str = "") -> Column:
-    name = F.col(p + "c_name")
-    return _par(
-        name,
-        F.concat(name, F.lit(" belongs to the nation "), F.col(p + "n_name"), F.lit(".")),
-        F.concat(name, F.lit(" trades in "), F.col(p + "c_mktsegment"), F.lit(".")),
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer with nation and region names."""
+    return spark.sql(
+        """
+        SELECT c_custkey, c_name, c_mktsegment, n_name, r_name
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+             JOIN {region} ON n_regionkey = r_regionkey
+        """,
+        **{t: table(spark, sf_dir, t) for t in ("customer", "nation", "region")},
     )
 
 
-def _nation_par(p: str = "") -> Column:
-    name = F.col(p + "n_name")
-    return _par(
-        name,
-        F.concat(name, F.lit(" lies in the region "), F.col(p + "r_name"), F.lit(".")),
-        F.concat(name, F.lit(" is a trading nation.")),
+def _customer_par(p: str) -> str:
+    return (
+        f"named_struct('title', {p}.c_name, 'sentences', array("
+        f"concat({p}.c_name, ' belongs to the nation ', {p}.n_name, '.'),"
+        f"concat({p}.c_name, ' trades in ', {p}.c_mktsegment, '.')))"
     )
 
 
-def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer with nation and region names."""
+def _nation_par(p: str) -> str:
     return (
-        table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("c_custkey", "c_name", "c_mktsegment", "n_name", "r_name")
+        f"named_struct('title', {p}.n_name, 'sentences', array("
+        f"concat({p}.n_name, ' lies in the region ', {p}.r_name, '.'),"
+        f"concat({p}.n_name, ' is a trading nation.')))"
     )
 
 
-def _prefixed(df: DataFrame, p: str) -> DataFrame:
-    return df.select([F.col(c).alias(p + c) for c in df.columns])
+def _refs(*pairs: tuple[str, str]) -> str:
+    return "array(" + ", ".join(f"named_struct('title', {t}, 'sent_id', {i})" for t, i in pairs) + ")"
 
 
-_SHAPE = ("id", "pos", "n", "question", "answer", "type", "supporting_facts", "context", "evidences")
+def _triples(*triples: tuple[str, str, str]) -> str:
+    return "array(" + ", ".join(
+        f"named_struct('subject', {s}, 'relation', '{r}', 'object', {o})" for s, r, o in triples
+    ) + ")"
 
 
-def _compositional(cust: DataFrame) -> DataFrame:
-    other = _prefixed(cust, "d_").withColumn("d_key", F.col("d_c_custkey") - 7)
-    n = F.col("c_custkey")
-    # Planted faults: a sentence that is not there, a sentence without the answer, a repeated row.
-    sent = F.when(n % 97 == 0, 9).when(n % 17 == 0, 1).otherwise(0)
-    distractor = F.when(F.col("d_c_name").isNotNull(), F.array(_customer_par("d_"))).otherwise(
-        F.array().cast("array<struct<title:string,sentences:array<string>>>")
-    )
-    return (
-        cust.join(other, n == F.col("d_key"), "left")
-        .withColumn("copy", F.explode(F.when(n % 50 == 0, F.array(F.lit(""), F.lit("d"))).otherwise(F.array(F.lit("")))))
-        .select(
-            F.concat(F.lit("c"), n.cast("string"), "copy").alias("id"),
-            (n * 8 + F.length("copy")).alias("pos"),
-            n.alias("n"),
-            F.concat(F.lit("Which region does the nation of "), "c_name", F.lit(" lie in?")).alias("question"),
-            F.col("r_name").alias("answer"),
-            F.lit("compositional").alias("type"),
-            F.array(_ref(F.col("c_name"), 0), _ref(F.col("n_name"), sent)).alias("supporting_facts"),
-            F.concat(F.array(_customer_par(), _nation_par()), distractor).alias("context"),
-            F.array(
-                _triple(F.col("c_name"), "country of citizenship", F.col("n_name")),
-                _triple(F.col("n_name"), "country", F.col("r_name")),
-            ).alias("evidences"),
-        )
-    )
-
+# Planted faults among the compositional questions: a sentence that is not there
+# (every 97th), a sentence without the answer (every 17th), a repeated row (every 50th).
+_COMPOSITIONAL = f"""
+    SELECT concat('c', c.c_custkey, copy) AS id, c.c_custkey * 8 + length(copy) AS pos, c.c_custkey AS n,
+           concat('Which region does the nation of ', c.c_name, ' lie in?') AS question,
+           c.r_name AS answer, 'compositional' AS type,
+           {_refs(('c.c_name', '0'),
+                  ('c.n_name', 'CASE WHEN c.c_custkey % 97 = 0 THEN 9 WHEN c.c_custkey % 17 = 0 THEN 1 ELSE 0 END'))}
+             AS supporting_facts,
+           filter(array({_customer_par('c')}, {_nation_par('c')}, {_customer_par('d')}), p -> p.title IS NOT NULL)
+             AS context,
+           {_triples(('c.c_name', 'country of citizenship', 'c.n_name'), ('c.n_name', 'country', 'c.r_name'))}
+             AS evidences
+    FROM {{cust}} c LEFT JOIN {{cust}} d ON d.c_custkey = c.c_custkey + 7
+         LATERAL VIEW explode(IF(c.c_custkey % 50 = 0, array('', 'd'), array(''))) AS copy
+"""
 
-def _inference(orders: DataFrame, cust: DataFrame) -> DataFrame:
-    name = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    order_par = _par(
-        name,
-        F.concat(name, F.lit(" was placed by "), F.col("c_name"), F.lit(".")),
-        F.concat(name, F.lit(" was placed on "), day, F.lit(".")),
-    )
-    return (
-        orders.select("o_orderkey", "o_custkey", "o_orderdate")
-        .join(cust, F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"),
-            (F.col("o_orderkey") * 8 + 2).alias("pos"),
-            F.col("o_orderkey").alias("n"),
-            F.concat(F.lit("Which nation does the customer of "), name, F.lit(" belong to?")).alias("question"),
-            F.col("n_name").alias("answer"),
-            F.lit("inference").alias("type"),
-            F.array(_ref(name, 0), _ref(name, 1), _ref(F.col("c_name"), 0)).alias("supporting_facts"),
-            F.array(order_par, _customer_par(), _nation_par()).alias("context"),
-            F.array(
-                _triple(name, "customer", F.col("c_name")),
-                _triple(name, "inception", day),
-                _triple(F.col("c_name"), "country of citizenship", F.col("n_name")),
-            ).alias("evidences"),
-        )
-    )
+_INFERENCE = f"""
+    SELECT concat('o', o.o_orderkey) AS id, o.o_orderkey * 8 + 2 AS pos, o.o_orderkey AS n,
+           concat('Which nation does the customer of ', o.title, ' belong to?') AS question,
+           c.n_name AS answer, 'inference' AS type,
+           {_refs(('o.title', '0'), ('o.title', '1'), ('c.c_name', '0'))} AS supporting_facts,
+           array(named_struct('title', o.title, 'sentences', array(
+                   concat(o.title, ' was placed by ', c.c_name, '.'), concat(o.title, ' was placed on ', o.day, '.'))),
+                 {_customer_par('c')}, {_nation_par('c')}) AS context,
+           {_triples(('o.title', 'customer', 'c.c_name'), ('o.title', 'inception', 'o.day'),
+                     ('c.c_name', 'country of citizenship', 'c.n_name'))} AS evidences
+    FROM (SELECT o_orderkey, o_custkey, concat('Order ', o_orderkey) AS title,
+                 date_format(o_orderdate, 'yyyy-MM-dd') AS day FROM {{orders}}) o
+         JOIN {{cust}} c ON o.o_custkey = c.c_custkey
+"""
 
+_COMPARISON = f"""
+    SELECT concat('s', a.s_suppkey) AS id, a.s_suppkey * 8 + 3 AS pos, a.s_suppkey AS n,
+           concat('Who has the larger account balance, ', a.s_name, ' or ', b.s_name, '?') AS question,
+           CASE WHEN b.s_acctbal > a.s_acctbal THEN b.s_name ELSE a.s_name END AS answer,
+           'comparison' AS type,
+           {_refs(('a.s_name', '0'), ('b.s_name', '0'))} AS supporting_facts,
+           array(named_struct('title', a.s_name, 'sentences', array(concat(a.s_name, ' has an account balance of ', a.bal, '.'))),
+                 named_struct('title', b.s_name, 'sentences', array(concat(b.s_name, ' has an account balance of ', b.bal, '.'))))
+             AS context,
+           {_triples(('a.s_name', 'balance', 'a.bal'), ('b.s_name', 'balance', 'b.bal'))} AS evidences
+    FROM {{supp}} a JOIN {{supp}} b ON b.s_suppkey = a.s_suppkey + 1
+"""
 
-def _comparison(supp: DataFrame) -> DataFrame:
-    one = supp.select("s_suppkey", "s_name", _money("s_acctbal").alias("bal"), "s_acctbal")
-    nxt = _prefixed(one, "b_").withColumn("b_key", F.col("b_s_suppkey") - 1)
-
-    def par(p: str) -> Column:
-        name = F.col(p + "s_name")
-        return _par(name, F.concat(name, F.lit(" has an account balance of "), F.col(p + "bal"), F.lit(".")))
-
-    return one.join(nxt, F.col("s_suppkey") == F.col("b_key")).select(
-        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"),
-        (F.col("s_suppkey") * 8 + 3).alias("pos"),
-        F.col("s_suppkey").alias("n"),
-        F.concat(
-            F.lit("Who has the larger account balance, "), "s_name", F.lit(" or "), "b_s_name", F.lit("?")
-        ).alias("question"),
-        F.when(F.col("b_s_acctbal") > F.col("s_acctbal"), F.col("b_s_name"))
-        .otherwise(F.col("s_name")).alias("answer"),
-        F.lit("comparison").alias("type"),
-        F.array(_ref(F.col("s_name"), 0), _ref(F.col("b_s_name"), 0)).alias("supporting_facts"),
-        F.array(par(""), par("b_")).alias("context"),
-        F.array(
-            _triple(F.col("s_name"), "balance", F.col("bal")),
-            _triple(F.col("b_s_name"), "balance", F.col("b_bal")),
-        ).alias("evidences"),
-    )
+_BRIDGE = f"""
+    SELECT concat('b', a.c_custkey) AS id, a.c_custkey * 8 + 4 AS pos, a.c_custkey AS n,
+           concat('Are ', a.c_name, ' and ', b.c_name, ' from the same region?') AS question,
+           IF(a.r_name = b.r_name, 'yes', 'no') AS answer, 'bridge_comparison' AS type,
+           {_refs(('a.c_name', '0'), ('a.n_name', '0'), ('b.c_name', '0'), ('b.n_name', '0'))} AS supporting_facts,
+           array({_customer_par('a')}, {_nation_par('a')}, {_customer_par('b')}, {_nation_par('b')}) AS context,
+           {_triples(('a.c_name', 'country of citizenship', 'a.n_name'), ('a.n_name', 'country', 'a.r_name'),
+                     ('b.c_name', 'country of citizenship', 'b.n_name'), ('b.n_name', 'country', 'b.r_name'))}
+             AS evidences
+    FROM {{cust}} a JOIN {{cust}} b ON b.c_custkey = a.c_custkey + 1
+"""
 
 
-def _bridge(cust: DataFrame) -> DataFrame:
-    nxt = _prefixed(cust, "b_").withColumn("b_key", F.col("b_c_custkey") - 1)
-    return cust.join(nxt, F.col("c_custkey") == F.col("b_key")).select(
-        F.concat(F.lit("b"), F.col("c_custkey").cast("string")).alias("id"),
-        (F.col("c_custkey") * 8 + 4).alias("pos"),
-        F.col("c_custkey").alias("n"),
-        F.concat(
-            F.lit("Are "), "c_name", F.lit(" and "), "b_c_name", F.lit(" from the same region?")
-        ).alias("question"),
-        F.when(F.col("r_name") == F.col("b_r_name"), "yes").otherwise("no").alias("answer"),
-        F.lit("bridge_comparison").alias("type"),
-        F.array(
-            _ref(F.col("c_name"), 0), _ref(F.col("n_name"), 0),
-            _ref(F.col("b_c_name"), 0), _ref(F.col("b_n_name"), 0),
-        ).alias("supporting_facts"),
-        F.array(_customer_par(), _nation_par(), _customer_par("b_"), _nation_par("b_")).alias("context"),
-        F.array(
-            _triple(F.col("c_name"), "country of citizenship", F.col("n_name")),
-            _triple(F.col("n_name"), "country", F.col("r_name")),
-            _triple(F.col("b_c_name"), "country of citizenship", F.col("b_n_name")),
-            _triple(F.col("b_n_name"), "country", F.col("b_r_name")),
-        ).alias("evidences"),
+def wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main corpus: four question types over all customers, orders and suppliers."""
+    supp = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey", "s_name", "s_acctbal", "cast(cast(s_acctbal AS decimal(12,2)) AS string) AS bal"
+    )
+    return spark.sql(
+        " UNION ALL ".join((_COMPOSITIONAL, _INFERENCE, _COMPARISON, _BRIDGE)),
+        cust=customers(spark, sf_dir), orders=table(spark, sf_dir, "orders"), supp=supp,
     )
 
 
-def wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main corpus: four question types over all customers, orders and suppliers."""
-    cust = customers(spark, sf_dir)
-    parts = [
-        _compositional(cust),
-        _inference(table(spark, sf_dir, "orders"), cust),
-        _comparison(table(spark, sf_dir, "supplier")),
-        _bridge(cust),
-    ]
-    out = parts[0].select(*_SHAPE)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(*_SHAPE))
-    return out
+def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_BRIDGE, cust=customers(spark, sf_dir))
 
 
 def hotpot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,49 +149,39 @@ def hotpot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def celebrities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-step questions with their sub-questions spelled out, one per customer."""
-    return customers(spark, sf_dir).select(
-        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
-        F.concat(F.lit("Which region does the nation of "), "c_name", F.lit(" lie in?")).alias("question"),
-        F.array("r_name").alias("answers"),
-        F.concat(F.lit("What is the nation of "), "c_name", F.lit("?")).alias("q1"),
-        F.array("n_name").alias("a1"),
-        F.concat(F.lit("What is the region of "), "n_name", F.lit("?")).alias("q2"),
-        F.array("r_name").alias("a2"),
+    return customers(spark, sf_dir).selectExpr(
+        "concat('c', c_custkey) AS id",
+        "concat('Which region does the nation of ', c_name, ' lie in?') AS question",
+        "array(r_name) AS answers",
+        "concat('What is the nation of ', c_name, '?') AS q1", "array(n_name) AS a1",
+        "concat('What is the region of ', n_name, '?') AS q2", "array(r_name) AS a2",
     )
 
 
 def strategyqa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yes/no questions with plain-text facts; answers as the raw files have them."""
-    from hopframe.operators.facts import lookup_facts
-
-    return _bridge(customers(spark, sf_dir)).select(
-        "id", "pos", "question",
-        F.when(F.col("answer") == "yes", "true").otherwise("false").alias("answer"),
+    return bridge(spark, sf_dir).select(
+        "id", "pos", "question", F.expr("IF(answer = 'yes', 'true', 'false') AS answer"),
         lookup_facts().alias("facts"),
     )
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known names and their types."""
-    return (
-        table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lit("GPE").alias("type"))
-        .unionByName(
-            table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.lit("LOC").alias("type"))
-        )
+    return spark.sql(
+        "SELECT n_name AS name, 'GPE' AS type FROM {nation} UNION ALL SELECT r_name, 'LOC' FROM {region}",
+        nation=table(spark, sf_dir, "nation"), region=table(spark, sf_dir, "region"),
     )
 
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction-style records: four input lines and a list of outputs."""
-    c = customers(spark, sf_dir)
-    text = F.concat(
-        F.lit("Question: "), "c_name", F.lit(" is a customer. Which region does "), "c_name",
-        F.lit(" trade in? \n(A)"), "r_name", F.lit(" (B)"), "n_name", F.lit("\n\nExplanation: "),
-        "c_name", F.lit(" belongs to "), "n_name", F.lit(". "), "n_name", F.lit(" lies in "), "r_name", F.lit("."),
-    )
-    return c.select(
-        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
-        text.alias("input"), F.array("r_name").alias("output"),
+    return customers(spark, sf_dir).selectExpr(
+        "concat('c', c_custkey) AS id",
+        r"concat('Question: ', c_name, ' is a customer. Which region does ', c_name, ' trade in? \n(A)', r_name,"
+        r"' (B)', n_name, '\n\nExplanation: ', c_name, ' belongs to ', n_name, '. ', n_name, ' lies in ',"
+        r"r_name, '.') AS input",
+        "array(r_name) AS output",
     )
 
 
@@ -258,31 +195,25 @@ def run_rows() -> list[dict]:
     ]
 
 
-def runs(spark: SparkSession) -> DataFrame:
-    from hopframe.plans.grid import run_id
-
-    schema = "run_no int, model string, strategy string, answer_first boolean, random_facts boolean, examplars boolean"
-    df = spark.createDataFrame([tuple(r.values()) for r in run_rows()], schema)
-    return df.withColumn("run_id", F.format_string("%s/%02d", run_id(), F.col("run_no")))
-
-
-def _run_structs() -> Column:
-    from hopframe.plans.grid import run_id
+def run_names() -> list[str]:
+    """Identity of each run, numbered so that two runs may share a configuration."""
+    return [
+        f"{r['model']}-{r['strategy']}-answer_first={r['answer_first']}-random_facts={r['random_facts']}-"
+        f"{'with' if r['examplars'] else 'without'}-examplars/{r['run_no']:02d}"
+        for r in run_rows()
+    ]
 
-    def one(r: dict) -> Column:
-        cols = {k: F.lit(v) for k, v in r.items()}
-        name = F.format_string("%s/%02d", run_id(cols), cols["run_no"])
-        return F.struct(name.alias("run_id"), cols["run_no"].alias("run_no"), cols["strategy"].alias("strategy"))
 
-    return F.array(*[one(r) for r in run_rows()])
+def runs(spark: SparkSession) -> DataFrame:
+    schema = (
+        "run_no int, model string, strategy string, answer_first boolean, random_facts boolean, "
+        "examplars boolean, run_id string"
+    )
+    return spark.createDataFrame([(*r.values(), i) for r, i in zip(run_rows(), run_names())], schema)
 
 
 def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per question its answer and its target under each trained strategy, in one pass."""
-    from hopframe.operators.examples import EXAMPLE_BUILDERS, prepare
-    from hopframe.operators.facts import resolve_facts
-    from hopframe.functions.text import strip_lines, token_count
-
     resolved, _ = resolve_facts(wiki(spark, sf_dir))
     work = prepare(resolved, "wiki", ["self_ask", "chain_of_thought"], entities(spark, sf_dir))
     cols = []
@@ -300,32 +231,31 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Also carries the truth the response is scored against.
     """
-    per_run = truths(spark, sf_dir).withColumn("run", F.explode(_run_structs()))
-    pick = {s: (F.col("run.strategy") == s) for s in STRATEGIES}
-
-    def by_strategy(suffix: str) -> Column:
-        return (
-            F.when(pick["direct"], F.col("direct_" + suffix))
-            .when(pick["self_ask"], F.col("self_ask_" + suffix))
-            .otherwise(F.col("chain_of_thought_" + suffix))
-        )
-
-    base = per_run.select(
-        F.col("run.run_id").alias("run_id"), F.col("run.run_no").alias("run_no"),
-        F.col("run.strategy").alias("strategy"), "id", "pos", "n", "type", "answer", "hops",
-        by_strategy("target").alias("target"), by_strategy("prompt_tokens").alias("num_prompt_tokens"),
+    named = ", ".join(
+        f"named_struct('run_id', '{name}', 'run_no', {r['run_no']}, 'strategy', '{r['strategy']}')"
+        for r, name in zip(run_rows(), run_names())
     )
-    line = F.trim(F.replace("target", F.lit("\n"), F.lit(" ")))
-    draw = (F.col("n") * 7 + F.col("run_no") * 3) % 10
-    kind = F.col("n") % 5
-    wrong = (
-        F.when(kind == 0, F.replace(line, F.col("answer"), F.lit("unknown")))
-        .when(kind == 1, F.col("answer"))
-        .when(kind == 2, F.lower(line))
-        .when(kind == 3, F.substring(line, F.lit(1), F.greatest(F.length(line) - 20, F.lit(0))))
-        .otherwise(F.lit(""))
+    pick = "CASE run.strategy " + " ".join(f"WHEN '{s}' THEN {s}_{{0}}" for s in STRATEGIES) + " END AS {1}"
+    return (
+        truths(spark, sf_dir)
+        .withColumn("run", F.expr(f"explode(array({named}))"))
+        .selectExpr(
+            "run.run_id AS run_id", "run.run_no AS run_no", "run.strategy AS strategy", "id", "pos", "n", "type",
+            "answer", "hops", pick.format("target", "target"), pick.format("prompt_tokens", "num_prompt_tokens"),
+        )
+        .withColumn("line", F.expr(r"trim(replace(target, '\n', ' '))"))
+        .withColumn("response", F.expr(
+            """
+            CASE WHEN (n * 7 + run_no * 3) % 10 <= run_no THEN line
+                 WHEN n % 5 = 0 THEN replace(line, answer, 'unknown')
+                 WHEN n % 5 = 1 THEN answer
+                 WHEN n % 5 = 2 THEN lower(line)
+                 WHEN n % 5 = 3 THEN substring(line, 1, greatest(length(line) - 20, 0))
+                 ELSE '' END
+            """
+        ))
+        .drop("line")
     )
-    return base.withColumn("response", F.when(draw <= F.col("run_no"), line).otherwise(wrong))
 
 
 def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
