@@ -77,15 +77,15 @@ def dedup_prompts(df: DataFrame, order_col: str = "pos", text_col: str = "prompt
 
 
 def date_category(df: DataFrame, col: str = "prompt") -> DataFrame:
-    """One flag per date pattern and ``has_date`` for any of them."""
+    """One flag per date pattern and ``any_date`` for any of them."""
     flags: dict[str, Column] = {
-        f"has_{name}": F.col(col).rlike(pattern) for name, pattern in DATE_PATTERNS.items()
+        f"has_{name}": F.col(col).rlike("(?U)" + pattern) for name, pattern in DATE_PATTERNS.items()
     }
     out = df.withColumns(flags)
     any_flag = F.lit(False)
     for name in flags:
         any_flag = any_flag | F.col(name)
-    return out.withColumn("has_date", any_flag)
+    return out.withColumn("any_date", any_flag)
 
 
 def coverage(df: DataFrame, col: str = "num_prompt_tokens", limit: int = 450, by: list[str] | None = None) -> DataFrame:

@@ -304,7 +304,7 @@ def dedup_documents(spark, sf):
 @query
 def date_category(spark, sf):
     flagged = fl.date_category(D.table(spark, sf, "documents"), "text")
-    return flagged.select("doc_id", *[f"has_{n}" for n in fl.DATE_PATTERNS], "has_date")
+    return flagged.select("doc_id", *[f"has_{n}" for n in fl.DATE_PATTERNS], "any_date")
 
 
 @query
