@@ -1,11 +1,14 @@
-"""Longest common subsequence for Arrow batches.
+"""Token overlap and longest common subsequence for Arrow batches.
 
-One Python big integer per text holds a row of the comparison table, so a pair
-costs one add/and/or per element of the second side.
+Counting is linear in the length of both texts.  For the subsequence one Python
+big integer per text holds a row of the comparison table, so a pair costs one
+add/and/or per element of the second side.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 
 
@@ -28,3 +31,34 @@ def lcs_length(left, right) -> int:
 
 def lcs_batch(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(a, b) for a, b in zip(left, right)], dtype="int32")
+
+
+def _shared(left, right) -> int:
+    """Size of the multiset intersection."""
+    return (Counter(left) & Counter(right)).total()
+
+
+def overlap_batch(left: pd.Series, right: pd.Series, stem=None, with_lcs: bool = True) -> pd.DataFrame:
+    """Lengths, shared 1- and 2-grams and subsequence length of two word columns.
+
+    ``stem`` maps a word to its stem; each distinct word of a batch is stemmed once.
+    """
+    known: dict[str, str] = {}
+
+    def words(text: str) -> list[str]:
+        items = text.split()
+        if stem is None:
+            return items
+        for w in items:
+            if w not in known:
+                known[w] = stem(w)
+        return [known[w] for w in items]
+
+    rows = []
+    for a, b in zip(left, right):
+        a, b = words(a), words(b)
+        rows.append((
+            len(a), len(b), _shared(a, b), _shared(zip(a, a[1:]), zip(b, b[1:])),
+            lcs_length(a, b) if with_lcs else 0,
+        ))
+    return pd.DataFrame(rows, columns=["n_truth", "n_response", "shared_1", "shared_2", "lcs"], dtype="int32")

@@ -1,12 +1,10 @@
 """English suffix stemming (Porter 1980, with the usual two extensions for
-short irregular words) applied once per distinct word of an Arrow batch."""
+short irregular words), called once per distinct word of an Arrow batch."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
-
 # Irregular forms.
 IRREGULAR = {
     "skies": "sky",
@@ -158,18 +156,3 @@ def stem_word(word: str) -> str:
         word = step(word)
     word = _replace_first(word, PLAIN_SUFFIXES)
     return _final_e(_drop_last(word))
-
-
-def stem_batch(tokens: pd.Series) -> pd.Series:
-    """Stem arrays of tokens; each distinct word of the batch is stemmed once."""
-    seen: dict[str, str] = {}
-    out = []
-    for row in tokens:
-        stems = []
-        for word in row:
-            stem = seen.get(word)
-            if stem is None:
-                stem = seen[word] = stem_word(word)
-            stems.append(stem)
-        out.append(stems)
-    return pd.Series(out)

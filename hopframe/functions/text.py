@@ -98,10 +98,9 @@ def seeded_key(seed: int, *parts: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[_col(p).cast("string") for p in parts]))
 
 
-def rouge_tokens(c: Column | str) -> Column:
-    """Lower-case ASCII word tokens used by the n-gram scores."""
-    spaced = F.trim(F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+def rouge_words(c: Column | str) -> Column:
+    """Lower-case ASCII words, separated by single spaces, used by the n-gram scores."""
+    return F.trim(F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", " "))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -125,14 +124,10 @@ def adjacent(items: Column, separator: str = " ") -> Column:
     return let(items, pairs)
 
 
-def bigrams(tokens: Column | str) -> Column:
-    return adjacent(_col(tokens))
-
-
 def numbered(items: Column) -> Column:
     """Repeated elements told apart by a running number ('the 0', 'the 1', ...).
 
-    A clipped multiset overlap then is a plain hashed set intersection.
+    A multiset then is a plain set, and shared elements are counted with repeats.
     """
     return let(
         F.array_sort(items),
@@ -142,11 +137,6 @@ def numbered(items: Column) -> Column:
     )
 
 
-def clipped_overlap(a: Column | str, b: Column | str) -> Column:
-    """Sum over distinct grams of the smaller of both counts."""
-    return F.size(F.array_intersect(numbered(_col(a)), numbered(_col(b))))
-
-
 def safe_div(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,21 +10,34 @@ from pyspark.sql import functions as F
 
 from hopframe import schemas
 from hopframe.functions import text as T
-from hopframe.functions.sequence import lcs_batch
-from hopframe.functions.stemming import stem_batch
+from hopframe.functions.sequence import overlap_batch
+from hopframe.functions.stemming import stem_word
 from hopframe.session import ship_helpers
 
 METRICS = ("bleu_1", "bleu_2", "rouge_1", "rouge_2", "rouge_l", "f1_1", "f1_2")
 
 
-def _stem_udf():
+def _overlap_udf(use_stemmer: bool, with_lcs: bool):
     ship_helpers()
-    return F.pandas_udf(stem_batch, "array<string>")
 
+    def compare(truth: pd.Series, response: pd.Series) -> pd.DataFrame:
+        return overlap_batch(truth, response, stem_word if use_stemmer else None, with_lcs)
 
-def _lcs_udf():
-    ship_helpers()
-    return F.pandas_udf(lcs_batch, "int")
+    schema = "n_truth int, n_response int, shared_1 int, shared_2 int, lcs int"
+    compare.__annotations__ = {"truth": pd.Series, "response": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(compare, schema)
+
+
+def udf_inputs(df: DataFrame, **inputs: Column) -> DataFrame:
+    """Add columns a Python UDF can take.
+
+    Spark cannot run a Python UDF whose argument has a lambda inside a lambda,
+    and would merge such an argument into the call; a one-element explode is a
+    boundary it does not merge across.
+    """
+    row = F.struct(*[c.alias(n) for n, c in inputs.items()])
+    out = df.withColumn("__in", F.explode(F.array(row)))
+    return out.withColumns({n: F.col("__in")[n] for n in inputs}).drop("__in")
 
 
 def judge(df: DataFrame, fallback: str = "none") -> DataFrame:
@@ -45,34 +58,26 @@ def rouge(
     """N-gram and subsequence overlap of each row's truth and response.
 
     Precision of 1- and 2-grams is named bleu_1/2, recall rouge_1/2, the
-    longest-common-subsequence recall rouge_l.  N-grams are counted in the JVM;
-    only stems and the subsequence length come from Arrow batches.
+    longest-common-subsequence recall rouge_l.  Words are cut in the JVM and
+    compared in one Arrow pass, linear in the text length.
     """
-    tokens = df.withColumns({"__t": T.rouge_tokens(truth), "__r": T.rouge_tokens(response)})
-    if use_stemmer:
-        stem = _stem_udf()
-        tokens = tokens.withColumns({"__t": stem("__t"), "__r": stem("__r")})
-    sizes = tokens.withColumns({
-        "__n1t": F.size("__t"),
-        "__n1r": F.size("__r"),
-        "__o1": T.clipped_overlap("__t", "__r"),
-        "__o2": T.clipped_overlap(T.bigrams("__t"), T.bigrams("__r")),
-    })
-    if with_lcs:
-        sizes = sizes.withColumn("__l", _lcs_udf()("__t", "__r"))
-    out = sizes.withColumns({
-        "bleu_1": T.safe_div(F.col("__o1"), F.col("__n1r")),
-        "rouge_1": T.safe_div(F.col("__o1"), F.col("__n1t")),
-        "bleu_2": T.safe_div(F.col("__o2"), F.greatest(F.col("__n1r") - 1, F.lit(0))),
-        "rouge_2": T.safe_div(F.col("__o2"), F.greatest(F.col("__n1t") - 1, F.lit(0))),
+    compare = _overlap_udf(use_stemmer, with_lcs)
+    words = udf_inputs(df, __t=T.rouge_words(truth), __r=T.rouge_words(response))
+    compared = words.withColumn("__o", compare("__t", "__r")).drop("__t", "__r")
+    get = lambda name: F.col("__o")[name]
+    pairs = lambda name: F.greatest(get(name) - 1, F.lit(0))
+    out = compared.withColumns({
+        "bleu_1": T.safe_div(get("shared_1"), get("n_response")),
+        "rouge_1": T.safe_div(get("shared_1"), get("n_truth")),
+        "bleu_2": T.safe_div(get("shared_2"), pairs("n_response")),
+        "rouge_2": T.safe_div(get("shared_2"), pairs("n_truth")),
     })
     if with_lcs:
-        out = out.withColumn("rouge_l", T.safe_div(F.col("__l"), F.col("__n1t")))
-    out = out.withColumns({
+        out = out.withColumn("rouge_l", T.safe_div(get("lcs"), get("n_truth")))
+    return out.withColumns({
         "f1_1": T.f_measure(F.col("bleu_1"), F.col("rouge_1")),
         "f1_2": T.f_measure(F.col("bleu_2"), F.col("rouge_2")),
-    })
-    return out.drop("__t", "__r", "__n1t", "__n1r", "__o1", "__o2", "__l")
+    }).drop("__o")
 
 
 def score(df: DataFrame, use_stemmer: bool = True, fallback: str = "none") -> DataFrame:
@@ -152,13 +157,13 @@ def generate(
     The function runs in the tasks on Arrow batches of at most ``batch_size``
     rows; loading a model once per worker is its own affair.
     """
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            parts = [predict(batch.iloc[i:i + batch_size]) for i in range(0, len(batch), batch_size)]
-            yield pd.concat(parts) if parts else batch
+    def ask(batch: pd.Series) -> pd.Series:
+        parts = [predict(batch.iloc[i:i + batch_size]) for i in range(0, len(batch), batch_size)]
+        return pd.concat(parts) if parts else batch
 
-    ask.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(out, F.pandas_udf(ask, "string")(prompt))
+    ask.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    asked = udf_inputs(df, __p=F.col(prompt))
+    return asked.withColumn(out, F.pandas_udf(ask, "string")("__p")).drop("__p")
 
 
 def evaluate(examples: DataFrame, responses: DataFrame, use_stemmer: bool = True, fallback: str = "none") -> DataFrame:

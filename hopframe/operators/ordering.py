@@ -75,18 +75,21 @@ def _digest_cut(df: DataFrame, digest: Column, n: int) -> Column:
     return nth.scalar()
 
 
-def split_exact(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """n rows drawn by seed, and the rest; ``key`` is unique.
+def drawn(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> Column:
+    """Whether a row of ``df`` is among the n drawn by seed; ``key`` is unique.
 
-    Both sides are plain filters against one digest, so the split moves no row.
-    With fewer than n rows everything is drawn.
+    A comparison with one digest.  With fewer than n rows everything is drawn.
     """
-    digest = seeded_key(seed, key)
     if n <= 0:
-        return df.where(F.lit(False)), df
-    cut = F.coalesce(_digest_cut(df, digest, n), F.lit("g"))  # 'g' sorts behind every digest
-    drawn = digest <= cut
-    return df.where(drawn), df.where(~drawn)
+        return F.lit(False)
+    digest = seeded_key(seed, key)
+    return digest <= F.coalesce(_digest_cut(df, digest, n), F.lit("g"))  # 'g' sorts behind every digest
+
+
+def split_exact(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """n rows drawn by seed, and the rest; both are plain filters, no row is moved."""
+    chosen = drawn(df, n, seed, key)
+    return df.where(chosen), df.where(~chosen)
 
 
 def with_chunk(df: DataFrame, chunks: int = 15, key: str = "pos", keep_remainder: bool = False) -> DataFrame:

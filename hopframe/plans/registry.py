@@ -55,7 +55,7 @@ def _wiki_examples(spark: SparkSession, sf: str, strategy: str, **kw) -> DataFra
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores without stemming, all of them JVM-side."""
+    """Scores without stemming or subsequence, which SQL can repeat."""
     return ev.rouge(ev.judge(D.responses(spark, sf)), use_stemmer=False, with_lcs=False)
 
 
@@ -702,9 +702,8 @@ def test_build(spark, sf):
     ents = D.entities(spark, sf)
     res = _resolved(spark, sf)
     shots, _ = od.split_exact(res, 20, 43)
-    pools = {(s, f): make_exemplars(shots, "wiki", s, f, ents)
-             for s in ("self_ask", "chain_of_thought") for f in (False, True)}
-    built = builds.build_test_data(D.wiki(spark, sf), pools, _grid(), LIMIT, entities=ents)
+    table = builds.exemplar_table(shots, _grid(), entities=ents)
+    built = builds.build_test_data(D.wiki(spark, sf), table, _grid(), LIMIT, entities=ents)
     return built.select(
         "id", "strategy", "answer_first", "random_facts", "examplars", F.md5("prompt").alias("prompt_md5"),
         F.md5("target").alias("target_md5"), "num_tokens")
