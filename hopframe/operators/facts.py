@@ -30,9 +30,12 @@ def lookup_facts(refs: Column | str = "supporting_facts", context: Column | str
 def resolve_facts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add ``facts``; rows with a reference to nowhere become rejects.
 
-    Rejects carry the 0-based number of the first bad reference.
+    Rejects carry the 0-based number of the first bad reference.  The lookup
+    leaves through a one-element explode: a boundary the optimizer does not
+    copy the expression across, so every row is looked up once however often
+    later columns and filters use its facts.
     """
-    looked_up = df.withColumn("facts", lookup_facts())
+    looked_up = df.withColumn("facts", F.explode(F.array(lookup_facts())))
     bad = F.exists("facts", lambda f: f.isNull())
     resolved = looked_up.where(~bad)
     numbered = F.transform("facts", lambda f, i: F.when(f.isNull(), i))
