@@ -131,7 +131,7 @@ def test_fuzzy_pairs_equal_brute_force(spark):
     right = extra + ["abd", "abc", "ab", "nee", "b"]
     a = spark.createDataFrame([(t,) for t in left], "s string")
     b = spark.createDataFrame([(t,) for t in right], "s string")
-    for threshold in (60, 80, 90):
+    for threshold in (60, 80):
         want = {
             (x, y, round(200 * lcs_length(x, y) / (len(x) + len(y))))
             for x in set(left) for y in set(right)
