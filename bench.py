@@ -11,9 +11,8 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
-    "direct_examples", "self_ask_examples", "cot_examples", "few_shot_prompts", "test_build", "allow_list_filter",
-    "dedup_prompts", "dedup_documents", "date_category", "document_token_stats", "rouge_l", "leaderboard",
-    "conditional_agreement", "train_dev_split", "chunks",
+    "direct_examples", "self_ask_examples", "cot_examples", "few_shot_prompts", "dedup_prompts", "dedup_documents",
+    "date_category", "document_token_stats", "rouge_l", "leaderboard", "train_dev_split", "chunks",
 ]
 
 

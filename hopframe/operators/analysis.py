@@ -172,14 +172,15 @@ def model_means(leaderboard: DataFrame, metrics: tuple[str, ...] = ("accuracy",)
     )
 
 
-def best_run(leaderboard: DataFrame, by: str = "strategy") -> DataFrame:
-    """Most accurate run of each strategy; ties go to the smaller run id."""
+def mark_best(leaderboard: DataFrame, by: str = "strategy") -> DataFrame:
+    """Add ``is_best`` to the most accurate run of each strategy; ties go to the smaller run id."""
     order = Window.partitionBy(by).orderBy(F.col("accuracy").desc(), F.col("run_id").asc())
-    return (
-        leaderboard.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") == 1)
-        .drop("rank")
-    )
+    return leaderboard.withColumn("is_best", F.row_number().over(order) == 1)
+
+
+def best_run(leaderboard: DataFrame, by: str = "strategy") -> DataFrame:
+    """Only the best run of each strategy."""
+    return mark_best(leaderboard, by).where("is_best").drop("is_best")
 
 
 def leaderboard(macro_scores: DataFrame, runs: DataFrame) -> DataFrame:

@@ -63,6 +63,10 @@ def _judged(spark: SparkSession, sf: str) -> DataFrame:
     return ev.judge(D.responses(spark, sf))
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return D.spread(D.table(spark, sf, "documents"), "doc_id")
+
+
 def _rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
@@ -257,7 +261,7 @@ def token_filter(spark, sf):
 
 @query
 def document_token_filter(spark, sf):
-    docs = D.table(spark, sf, "documents").select("doc_id", "source", T.token_count("text").alias("num_prompt_tokens"))
+    docs = _documents(spark, sf).select("doc_id", "source", T.token_count("text").alias("num_prompt_tokens"))
     return fl.filter_tokens(docs, 130).select("doc_id", "source", "num_prompt_tokens")
 
 
@@ -303,7 +307,7 @@ def dedup_documents(spark, sf):
 
 @query
 def date_category(spark, sf):
-    flagged = fl.date_category(D.table(spark, sf, "documents"), "text")
+    flagged = fl.date_category(_documents(spark, sf), "text")
     return flagged.select("doc_id", *[f"has_{n}" for n in fl.DATE_PATTERNS], "any_date")
 
 
@@ -376,8 +380,7 @@ def macro_results(spark, sf):
 @query
 def leaderboard(spark, sf):
     board = an.leaderboard(ev.macro(_scores(spark, sf)), D.runs(spark).drop("run_no"))
-    best = an.best_run(board).select("strategy", F.col("run_id").alias("best_run_id"))
-    return board.join(best, "strategy").withColumn("is_best", F.col("run_id") == F.col("best_run_id")).drop("best_run_id")
+    return an.mark_best(board)
 
 
 @query
@@ -462,7 +465,7 @@ def token_stats(spark, sf):
 
 @query
 def document_token_stats(spark, sf):
-    docs = D.table(spark, sf, "documents").select("lang", T.token_count("text").alias("num_tokens"))
+    docs = _documents(spark, sf).select("lang", T.token_count("text").alias("num_tokens"))
     return an.token_stats(docs, ["lang"], ("num_tokens",))
 
 
