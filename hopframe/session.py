@@ -11,11 +11,14 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh directory name under the folder all executors can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Only where it
-    is unset, as in local tests, a temporary folder of this machine is used.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Only a session
+    whose executors are threads of this machine may go without; elsewhere a
+    missing setting is an error, since a local folder would not be shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="hopframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
