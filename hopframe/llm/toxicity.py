@@ -1,14 +1,14 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine.
 
-Words are compared by the subsequences of three characters they share within a
-span of six, each weighed by 0.6 to the number of skipped characters, so an
+Words are compared by the subsequences of three and four characters they share
+within a span of six, each weighed by 0.6 to the number of skipped characters, so an
 insult with inserted, left-out or parted characters keeps most of its kernel
 with the plain one.  Words are normalized by their length.  The SVM is trained
 on sentences of labelled documents: a sentence scores as its worst word, and a
 toxic document needs one toxic sentence, so each round takes the worst word of
 each toxic document as its witness and the worst words of clean ones as
 counter-examples.  With Nystroem features the decision is linear in the
-subsequences; it is folded into one table over all triples, which scores a
+subsequences; it is folded into one table over all subsequences, which scores a
 distinct word in about a microsecond.  A logistic curve over a document's worst word
 gives the score.
 
@@ -35,21 +35,25 @@ from pyspark.sql import functions as F
 
 from hopframe.llm._sample import sample_per_class
 
-DOCS_PER_CLASS = 4000
+DOCS_PER_CLASS = 3000
 SENTENCES_PER_DOC = 60
 SENTENCE_CHARS = 300
-LANDMARKS = 240
+LANDMARKS = 480
 SPAN, DECAY = 5, 0.6
 SYMBOLS = 64
 LONGEST = 24
 CUT = 0.7
+SUPPORT = 8
 
-PATTERNS = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN + 1) for j in range(1, k)]
+# Offsets of the further characters of a subsequence, and its weight: three characters, and four.
+PATTERNS = [((j, k), DECAY ** (k - 2)) for k in range(2, SPAN + 1) for j in range(1, k)]
+PATTERNS += [((i, j, k), DECAY ** (k - 3)) for k in range(3, SPAN + 1) for j in range(2, k) for i in range(1, j)]
+SLOTS = SYMBOLS**3  # of each kind; four characters share slots by a hash
 
 
 def symbol_table() -> np.ndarray:
     """Small numbers for characters: letters, the two word ends, digits, and the rest by remainder."""
-    table = (30 + np.arange(0x110000) % (SYMBOLS - 30)).astype(np.int32)
+    table = (30 + np.arange(0x110000) % (SYMBOLS - 30)).astype(np.int64)
     table[ord("a") : ord("z") + 1] = np.arange(1, 27)
     table[ord("^")], table[ord("$")] = 27, 28
     table[ord("0") : ord("9") + 1] = 29
@@ -57,24 +61,28 @@ def symbol_table() -> np.ndarray:
 
 
 class Words:
-    """Codes of the character triples of words of one length."""
+    """Codes of the subsequences of words of one length."""
 
     def __init__(self, symbols: np.ndarray):
         self.symbols = symbols
 
-    def triples(self, words: list[str]):
-        """(codes, weight) of each way to pick three characters within the span; rows are words."""
+    def codes(self, words: list[str]):
+        """(codes, weight) of each way to pick three or four characters within the span; rows are words."""
         flat = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         s = self.symbols[flat].reshape(len(words), -1)
         width = s.shape[1]
-        for j, k, weight in PATTERNS:
-            if width > k:
-                yield s[:, : width - k] * (SYMBOLS * SYMBOLS) + s[:, j : width - k + j] * SYMBOLS + s[:, k:], weight
+        for offsets, weight in PATTERNS:
+            last = offsets[-1]
+            if width > last:
+                code = s[:, : width - last]
+                for o in offsets:
+                    code = code * SYMBOLS + s[:, o : width - last + o]
+                yield (code if len(offsets) == 2 else SLOTS + ((code * 40503) >> 6) % SLOTS), weight
 
 
 def length_norm(n: int) -> float:
-    """The norm of a word of n characters whose triples all differ; any positive function keeps a kernel a kernel."""
-    return float(np.sqrt(sum(max(0, n + 2 - k) * w * w for _, k, w in PATTERNS))) or 1.0
+    """The norm of a word of n characters whose subsequences all differ; any positive function keeps a kernel a kernel."""
+    return float(np.sqrt(sum(max(0, n + 2 - offsets[-1]) * w * w for offsets, w in PATTERNS))) or 1.0
 
 
 NOT_WORD = re.compile(r"[\W_]+")
@@ -100,7 +108,7 @@ def pieces(word: str) -> list[str]:
 
 
 class Model:
-    """A table over triples, a bias and a logistic curve."""
+    """A table over subsequences, a bias and a logistic curve."""
 
     def __init__(self, table: np.ndarray, bias: float, slope: float, middle: float):
         self.table, self.bias, self.slope, self.middle = table, bias, slope, middle
@@ -117,7 +125,7 @@ class Model:
             if 2 <= n <= LONGEST:
                 for at in range(0, len(rows), 20_000):
                     some = rows[at : at + 20_000]
-                    total = sum(self.table[codes].sum(axis=1) * weight for codes, weight in self.words.triples([words[i] for i in some]))
+                    total = sum(self.table[codes].sum(axis=1) * weight for codes, weight in self.words.codes([words[i] for i in some]))
                     out[some] = total / length_norm(n) + self.bias
             elif n > LONGEST:
                 for i in rows:
@@ -139,7 +147,7 @@ class Model:
 
 
 def _kernel(words: list[str], maker: Words, columns: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Kernel of each word with each landmark; ``columns`` numbers the landmarks' triples, the last stands for all others."""
+    """Kernel of each word with each landmark; ``columns`` numbers the landmarks' subsequences, the last stands for all others."""
     out = np.zeros((len(words), features.shape[1]))
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
@@ -147,7 +155,7 @@ def _kernel(words: list[str], maker: Words, columns: np.ndarray, features: np.nd
     for n, rows in by_length.items():
         for at in range(0, len(rows), 400):
             some = rows[at : at + 400]
-            for codes, weight in maker.triples([words[i] for i in some]):
+            for codes, weight in maker.codes([words[i] for i in some]):
                 out[some] += features[columns[codes]].sum(axis=1) * weight
         out[rows] /= length_norm(n)
     return out
@@ -169,70 +177,98 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 25) -> np.
     return w
 
 
-def fit(bags: list[tuple[int, list[str]]], rounds: int = 6, seed: int = 7) -> Model:
-    """Train on (label, sentences) of documents."""
-    docs = [(label, sorted({p for s in sentences for t in tokens_of(s) if len(w := plain(t)) >= 2 for p in pieces(w)})) for label, sentences in bags]
+def fit(bags: list[tuple[int, list[str]]], rounds: int = 4, seed: int = 7) -> Model:
+    """Train on (label, sentences) of documents.
+
+    A sentence counts once however many documents copy it, and as clean if a
+    clean document holds it.
+    """
+    nothing = Model(np.zeros(2 * SLOTS, dtype=np.float32), 0.0, 0.0, np.inf)
+    labels = np.array([label for label, _ in bags])
+    if not len(bags) or labels.min() == labels.max():
+        return nothing
+    label_of: dict[str, int] = {}
+    for label, sentences in bags:
+        for s in sentences:
+            label_of[s] = min(label, label_of.get(s, 1))
+    held = {s: {p for t in tokens_of(s) if len(w := plain(t)) >= 2 for p in pieces(w)} for s in label_of}
+    docs = [(label, sorted(set().union(*(held[s] for s in sentences)))) for label, sentences in bags if sentences]
     docs = [d for d in docs if d[1]]
-    labels = np.array([label for label, _ in docs])
-    if not len(docs) or labels.min() == labels.max():
-        return Model(np.zeros(SYMBOLS**3, dtype=np.float32), 0.0, 0.0, np.inf)
+    words_in: list[Counter] = [Counter(), Counter()]
+    for s, label in label_of.items():
+        words_in[label].update(held[s])
+    grams_in: list[Counter] = [Counter(), Counter()]
+    for label in (0, 1):
+        for w, k in words_in[label].items():
+            for g in _grams(w):
+                grams_in[label][g] += k
+    n = [max(1, sum(1 for x in label_of.values() if x == c)) for c in (0, 1)]
+
+    def odds(g: str) -> float:
+        return float(np.log((grams_in[1][g] + 0.1) / n[1]) - np.log((grams_in[0][g] + 0.5) / n[0]))
+
+    # First examples: words with a substring that many toxic and hardly any clean sentences hold.
+    telling = {g for g, k in grams_in[1].items() if k >= SUPPORT and odds(g) > 2.5}
+    examples = Counter({w: k for w, k in words_in[1].items() if any(g in telling for g in _grams(w))})
+    clean = sorted(words_in[0])
     rng = np.random.default_rng(seed)
-    # First witnesses: the word with the substring that tells the classes apart best.
-    seen: list[Counter] = [Counter(), Counter()]
-    grams = lambda w: {f"^{w}$"[i : i + 5] for i in range(max(1, len(w) - 2))}
-    for label, words in docs:
-        seen[label].update({g for w in words for g in grams(w)})
-    n = [max(1, int((labels == c).sum())) for c in (0, 1)]
-    odds = lambda g: np.log((seen[1][g] + 0.1) / n[1]) - np.log((seen[0][g] + 0.5) / n[0])
-    worth = lambda w: max(odds(g) * min(1.0, seen[1][g] / 3) for g in grams(w))
-    witness = Counter(max(words, key=worth) for label, words in docs if label)
-    # Words that several toxic documents and no clean one hold stay examples, also where a document has a worse one.
-    own = [Counter(), Counter()]
-    for label, words in docs:
-        own[label].update(words)
-    telling = Counter({w: k for w, k in own[1].items() if k >= 8 and np.log(k / n[1]) - np.log((own[0][w] + 0.5) / n[0]) > 2})
-    clean = sorted({w for label, words in docs if not label for w in words})
-    counter = set(rng.choice(clean, size=min(len(clean), 12_000), replace=False).tolist()) if clean else set()
+    # Insults with one strange character are examples too, of less weight.
+    for w in [w for w, k in words_in[1].items() if k >= SUPPORT and w in examples]:
+        for at in range(2, len(w) - 1):
+            examples.setdefault(w[:at] + chr(int(rng.integers(ord("a"), ord("z") + 1))) + w[at:], 1)
+    counter = set(rng.choice(clean, size=min(len(clean), 10_000), replace=False).tolist()) if clean else set()
     maker = Words(symbol_table())
     model = None
     for _ in range(rounds):
-        examples = witness | telling
-        positive = [w for w, _ in examples.most_common() if w in telling or w not in counter or model is None]
+        positive = [w for w, _ in examples.most_common() if words_in[0][w] * 20 <= words_in[1][w]]
         negative = sorted(counter - set(positive))
         if not positive or not negative:
             break
-        half = LANDMARKS // 2
-        marks = positive[:half] + rng.choice(negative, size=min(half, len(negative)), replace=False).tolist()
-        used = sorted({int(c) for w in marks for codes, _ in maker.triples([w]) for c in np.unique(codes)})
-        columns = np.full(SYMBOLS**3, len(used), dtype=np.int32)
-        columns[used] = np.arange(len(used))
-        features = np.zeros((len(used) + 1, len(marks)))
-        for i, w in enumerate(marks):
-            for codes, weight in maker.triples([w]):
-                np.add.at(features[:, i], columns[codes[0]], weight / length_norm(len(w)))
-        features[-1] = 0
-        values, vectors = np.linalg.eigh(_kernel(marks, maker, columns, features))
-        root = vectors @ np.diag(np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0.0)) @ vectors.T
-        words = positive + negative
-        x = _kernel(words, maker, columns, features) @ root
-        y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        cost = np.array([20.0 * min(3, examples[w]) for w in positive] + [4.0] * len(negative))
-        weights = _svm(x, y, cost)
-        table = np.zeros(SYMBOLS**3, dtype=np.float32)
-        table[used] = (features[:-1] @ (root @ weights[:-1])).astype(np.float32)
-        model = Model(table, float(weights[-1]), 1.0, 0.0)
-        every = sorted({w for _, words_of in docs for w in words_of})
+        model = _train(positive[:6000], negative, examples, maker, rng)
+        every = sorted(words_in[0] | words_in[1])
         margin = dict(zip(every, model.margins(every).tolist(), strict=True))
-        witness = Counter(max(words_of, key=margin.__getitem__) for label, words_of in docs if label)
-        hard = sorted(clean, key=margin.__getitem__, reverse=True)[:6000]
-        counter |= {w for w in hard if margin[w] > -0.9}
+        # The worst word of a toxic sentence or document joins the examples only if the model agrees.
+        found = Counter(max(words, key=margin.__getitem__) for label, words in docs if label)
+        examples = examples | Counter({w: k for w, k in found.items() if margin[w] > 0.5})
+        hard = sorted((w for w in clean if margin[w] > -0.9), key=margin.__getitem__, reverse=True)[:5000]
+        counter.update(hard)
     if model is None:
-        return Model(np.zeros(SYMBOLS**3, dtype=np.float32), 0.0, 0.0, np.inf)
+        return nothing
     worst = np.array([max(margin[w] for w in words) for _, words in docs])
-    model.slope, model.middle = _curve(worst, labels)
+    model.slope, model.middle = _curve(worst, np.array([label for label, _ in docs]))
     return model
 
 
+def _grams(word: str) -> set[str]:
+    """Substrings of five characters, ends included."""
+    edged = f"^{word}$"
+    return {edged[i : i + 5] for i in range(max(1, len(edged) - 4))}
+
+
+def _train(positive: list[str], negative: list[str], examples: Counter, maker: Words, rng: np.random.Generator) -> Model:
+    """One SVM over Nystroem features, folded into a table over subsequences."""
+    half = LANDMARKS // 2
+    marks = positive[: half // 2] + [positive[i] for i in np.linspace(half // 2, len(positive) - 1, half // 2).astype(int) if half // 2 < len(positive)]
+    marks = list(dict.fromkeys(marks)) + rng.choice(negative, size=min(half, len(negative)), replace=False).tolist()
+    used = sorted({int(c) for w in marks for codes, _ in maker.codes([w]) for c in np.unique(codes)})
+    columns = np.full(2 * SLOTS, len(used), dtype=np.int32)
+    columns[used] = np.arange(len(used))
+    features = np.zeros((len(used) + 1, len(marks)))
+    for i, w in enumerate(marks):
+        for codes, weight in maker.codes([w]):
+            np.add.at(features[:, i], columns[codes[0]], weight / length_norm(len(w)))
+    features[-1] = 0
+    values, vectors = np.linalg.eigh(_kernel(marks, maker, columns, features))
+    root = vectors @ np.diag(np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0.0)) @ vectors.T
+    x = _kernel(positive + negative, maker, columns, features) @ root
+    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
+    cost = np.array([20.0 * min(10, examples[w]) for w in positive] + [8.0] * len(negative))
+    weights = _svm(x, y, cost)
+    table = np.zeros(2 * SLOTS, dtype=np.float32)
+    table[used] = (features[:-1] @ (root @ weights[:-1])).astype(np.float32)
+    return Model(table, float(weights[-1]), 1.0, 0.0)
+
+
 def _curve(margin: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[float, float]:
     """Logistic curve over worst words, targets softened by Platt's rule."""
     n1, n0 = label.sum(), (1 - label).sum()
