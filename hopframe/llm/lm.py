@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from hopframe.llm._store import stored
 from hopframe.llm._text import Tokens, chain, lower_table, pack, pack_sorted, row_chunks, space_words, text_buffers, unpack, unpack_sorted
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 12 << 20
 DELETED = 5  # one block in so many is deleted while weights are learned
 END, BEGIN = np.uint64(1), np.uint64(2)
