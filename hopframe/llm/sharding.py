@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from hopframe.llm._store import stored
 
 BUCKET_ROWS = 4096
+COMPUTED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def _draw(key: Column, shard: int, weight: float) -> Column:
@@ -69,12 +70,12 @@ def number_slots(records: DataFrame, order: Sequence[str], spread: str) -> DataF
 
 
 def shard(docs: DataFrame, weights: Sequence[float] = (1,) * 8, grown: Sequence[float] | None = None, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """Id, size in bytes plus one, checksum, shard, slot and, for ``grown`` weights, the shard then; ``keep`` names more columns to carry."""
+    """Id, size in bytes plus one, checksum, shard, slot and, for ``grown`` weights, the shard then; ``keep`` names more columns to carry, except those computed here."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     id_text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     records = docs.select(
         key,
-        *[c for c in keep if c != key],
+        *[c for c in keep if c != key and c not in COMPUTED],
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         F.lit("key").alias("law"),

@@ -143,6 +143,8 @@ class Model:
         return np.array([max((self.seen[t] for t in s), default=-9.0) for s in sets])
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
+        if not self.slope:  # nothing was learned
+            return np.zeros(len(margins))
         return 1 / (1 + np.exp(-np.clip(self.slope * (margins - self.middle), -500, 500)))
 
 
@@ -183,7 +185,7 @@ def fit(bags: list[tuple[int, list[str]]], rounds: int = 4, seed: int = 7) -> Mo
     A sentence counts once however many documents copy it, and as clean if a
     clean document holds it.
     """
-    nothing = Model(np.zeros(2 * SLOTS, dtype=np.float32), 0.0, 0.0, np.inf)
+    nothing = Model(np.zeros(2 * SLOTS, dtype=np.float32), 0.0, 0.0, 0.0)
     labels = np.array([label for label, _ in bags])
     if not len(bags) or labels.min() == labels.max():
         return nothing
