@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from hopframe.llm._sample import sample_per_class
 
-DOCS_PER_CLASS = 3000
-SENTENCES_PER_DOC = 60
+DOCS_PER_CLASS = 2000
+SENTENCES_PER_DOC = 40
 SENTENCE_CHARS = 300
-LANDMARKS = 480
+LANDMARKS = 400
 SPAN, DECAY = 5, 0.6
 SYMBOLS = 64
 LONGEST = 24
@@ -150,12 +150,12 @@ class Model:
 
 def _kernel(words: list[str], maker: Words, columns: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Kernel of each word with each landmark; ``columns`` numbers the landmarks' subsequences, the last stands for all others."""
-    out = np.zeros((len(words), features.shape[1]))
+    out = np.zeros((len(words), features.shape[1]), dtype=np.float32)
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
     for n, rows in by_length.items():
-        for at in range(0, len(rows), 400):
+        for at in range(0, len(rows), 200):
             some = rows[at : at + 400]
             for codes, weight in maker.codes([words[i] for i in some]):
                 out[some] += features[columns[codes]].sum(axis=1) * weight
@@ -165,13 +165,13 @@ def _kernel(words: list[str], maker: Words, columns: np.ndarray, features: np.nd
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 25) -> np.ndarray:
     """Linear SVM with squared hinge loss by Newton steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     for _ in range(steps):
         active = y * (x @ w) < 1
-        xa, ca = x[active], cost[active]
+        xa, ca = x[active].astype(np.float64), cost[active]
         new = np.linalg.solve(ridge + (xa * ca[:, None]).T @ xa, (xa * ca[:, None]).T @ y[active])
         if np.allclose(new, w, atol=1e-6):
             break
@@ -179,11 +179,12 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 25) -> np.
     return w
 
 
-def fit(bags: list[tuple[int, list[str]]], rounds: int = 4, seed: int = 7) -> Model:
+def fit(bags: list[tuple[int, list[str]]], odds_of_all: float | None = None, rounds: int = 4, seed: int = 7) -> Model:
     """Train on (label, sentences) of documents.
 
     A sentence counts once however many documents copy it, and as clean if a
-    clean document holds it.
+    clean document holds it.  ``odds_of_all`` are the toxic to the clean
+    documents where the sample was drawn; the curve is moved to them.
     """
     nothing = Model(np.zeros(2 * SLOTS, dtype=np.float32), 0.0, 0.0, 0.0)
     labels = np.array([label for label, _ in bags])
@@ -218,7 +219,7 @@ def fit(bags: list[tuple[int, list[str]]], rounds: int = 4, seed: int = 7) -> Mo
     for w in [w for w, k in words_in[1].items() if k >= SUPPORT and w in examples]:
         for at in range(2, len(w) - 1):
             examples.setdefault(w[:at] + chr(int(rng.integers(ord("a"), ord("z") + 1))) + w[at:], 1)
-    counter = set(rng.choice(clean, size=min(len(clean), 10_000), replace=False).tolist()) if clean else set()
+    counter = set(rng.choice(clean, size=min(len(clean), 8_000), replace=False).tolist()) if clean else set()
     maker = Words(symbol_table())
     model = None
     for _ in range(rounds):
@@ -226,18 +227,20 @@ def fit(bags: list[tuple[int, list[str]]], rounds: int = 4, seed: int = 7) -> Mo
         negative = sorted(counter - set(positive))
         if not positive or not negative:
             break
-        model = _train(positive[:6000], negative, examples, maker, rng)
+        model = _train(positive[:4000], negative, examples, maker, rng)
         every = sorted(words_in[0] | words_in[1])
         margin = dict(zip(every, model.margins(every).tolist(), strict=True))
         # The worst word of a toxic sentence or document joins the examples only if the model agrees.
         found = Counter(max(words, key=margin.__getitem__) for label, words in docs if label)
         examples = examples | Counter({w: k for w, k in found.items() if margin[w] > 0.5})
-        hard = sorted((w for w in clean if margin[w] > -0.9), key=margin.__getitem__, reverse=True)[:5000]
+        hard = sorted((w for w in clean if margin[w] > -0.9), key=margin.__getitem__, reverse=True)[:4000]
         counter.update(hard)
     if model is None:
         return nothing
     worst = np.array([max(margin[w] for w in words) for _, words in docs])
     model.slope, model.middle = _curve(worst, np.array([label for label, _ in docs]))
+    if odds_of_all:
+        model.middle += float(np.log(labels.sum() / (1 - labels).sum() / odds_of_all)) / model.slope
     return model
 
 
@@ -255,14 +258,14 @@ def _train(positive: list[str], negative: list[str], examples: Counter, maker: W
     used = sorted({int(c) for w in marks for codes, _ in maker.codes([w]) for c in np.unique(codes)})
     columns = np.full(2 * SLOTS, len(used), dtype=np.int32)
     columns[used] = np.arange(len(used))
-    features = np.zeros((len(used) + 1, len(marks)))
+    features = np.zeros((len(used) + 1, len(marks)), dtype=np.float32)
     for i, w in enumerate(marks):
         for codes, weight in maker.codes([w]):
             np.add.at(features[:, i], columns[codes[0]], weight / length_norm(len(w)))
     features[-1] = 0
-    values, vectors = np.linalg.eigh(_kernel(marks, maker, columns, features))
+    values, vectors = np.linalg.eigh(_kernel(marks, maker, columns, features).astype(np.float64))
     root = vectors @ np.diag(np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0.0)) @ vectors.T
-    x = _kernel(positive + negative, maker, columns, features) @ root
+    x = _kernel(positive + negative, maker, columns, features) @ root.astype(np.float32)
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     cost = np.array([20.0 * min(10, examples[w]) for w in positive] + [8.0] * len(negative))
     weights = _svm(x, y, cost)
@@ -289,8 +292,10 @@ def _curve(margin: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[flo
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", docs_per_class: int = DOCS_PER_CLASS) -> Model:
     """Fit on a bounded sample of the labelled documents given."""
-    marked = labels.groupBy(key).agg(F.max("toxic").cast("int").alias("toxic")).where("toxic is not null")
-    chosen = sample_per_class(marked.join(docs.select(key).distinct(), key, "left_semi"), "toxic", key, docs_per_class)
+    marked = labels.groupBy(key).agg(F.max("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    known = marked.join(docs.select(key).distinct(), key, "left_semi")
+    number = dict(known.groupBy("toxic").count().collect())  # two rows
+    chosen = sample_per_class(known, "toxic", key, docs_per_class)
     sentences = F.filter(F.split(F.col(text), r"[.!?\n]+"), lambda s: F.trim(s) != "")
     cut = F.flatten(F.transform(sentences, lambda s: F.transform(
         F.sequence(F.lit(0), F.floor((F.length(s) - 1) / SENTENCE_CHARS).cast("int")),
@@ -299,7 +304,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     some = F.slice(F.array_sort(F.transform(cut, lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s")))), 1, SENTENCES_PER_DOC)
     rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen), key).select("toxic", F.transform(some, lambda s: s["s"]).alias("s"), key)
     table = rows.orderBy(key).toArrow()  # at most docs_per_class documents of each class
-    return fit(list(zip(table.column("toxic").to_pylist(), table.column("s").to_pylist(), strict=True)))
+    bags = list(zip(table.column("toxic").to_pylist(), table.column("s").to_pylist(), strict=True))
+    return fit(bags, number.get(1, 0) / number[0] if number.get(0) else None)
 
 
 def add_scores(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
