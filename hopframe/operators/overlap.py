@@ -128,8 +128,8 @@ def fuzzy_pairs(a: DataFrame, b: DataFrame, col: str, threshold: int = 80) -> Da
     Lossless: texts are de-duplicated, each is indexed under its globally rarest
     character pairs (as many as the bounds ask for), sides meet on those keys,
     and only pairs that pass the length and edit-distance bounds are compared in
-    Arrow batches.  Keys common on the left are split, with the right side's
-    rows copied to each part, so no key is one task's work.
+    Arrow batches.  Keys common on either side are split there, with the other
+    side's rows copied to each part, so no key is one task's work.
     """
     bounds = _Bounds(threshold)
     left, right = _side(a, col), _side(b, col)
@@ -144,21 +144,24 @@ def fuzzy_pairs(a: DataFrame, b: DataFrame, col: str, threshold: int = 80) -> Da
         .agg(
             (in_a + in_b).alias("freq"),
             ((in_a > 0) & (in_b > 0)).alias("shared"),
-            F.ceil(in_a / F.lit(KEY_ROWS)).cast("int").alias("parts"),
+            F.greatest(F.lit(1), F.ceil(in_a / F.lit(KEY_ROWS))).cast("int").alias("parts_a"),
+            F.greatest(F.lit(1), F.ceil(in_b / F.lit(KEY_ROWS))).cast("int").alias("parts_b"),
         )
     )
     keys_a = _rarest(grams_a, usage).select(
-        "kind", "gram", F.pmod(F.col("uid"), F.col("parts")).cast("int").alias("part"),
+        "kind", "gram", F.pmod(F.col("uid"), F.col("parts_a")).cast("int").alias("part_a"),
+        F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)).alias("part_b"),
         F.col("uid").alias("uid_a"), F.col("len").alias("len_a"), F.col("nth").alias("nth_a"),
     )
     keys_b = _rarest(grams_b, usage).select(
-        "kind", "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        "kind", "gram", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)).alias("part_a"),
+        F.pmod(F.col("uid"), F.col("parts_b")).cast("int").alias("part_b"),
         F.col("uid").alias("uid_b"), F.col("len").alias("len_b"), F.col("nth").alias("nth_b"),
     )
     len_a, len_b = F.col("len_a"), F.col("len_b")
     early = (F.col("nth_a") <= bounds.pair_rank(len_a, len_b)) & (F.col("nth_b") <= bounds.pair_rank(len_b, len_a))
     candidates = (
-        keys_a.join(keys_b, ["kind", "gram", "part"])
+        keys_a.join(keys_b, ["kind", "gram", "part_a", "part_b"])
         .where(bounds.lengths_fit(len_a, len_b) & ((F.col("kind") == "c") | early))
         .select("uid_a", "uid_b").distinct()
         .repartition(_parts(a), "uid_a")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopframe.functions.text import seeded_key
@@ -12,32 +12,52 @@ KINDS = ("add_fact", "replace_fact", "alter_word", "swap_options")
 # 'Who ..., A or B?' and 'Are A and B ...?'
 OPTIONS = r"^(.*(?:, |^Are ))(.+?) (or|and) (.+?)(\?| from .*\?)$"
 
-# Buckets by which rows find a fact of another row; every bucket has one donor.
-DONORS = 4096
+# Hex digits of a digest by which rows are dealt to buckets: 65,536 of them.
+PREFIX = 4
 
 
-def _donor_facts(df: DataFrame, seed: int, donors: int) -> DataFrame:
-    """One fact per bucket: that of the row with the smallest digest in it."""
+def _with_next_fact(df: DataFrame, seed: int) -> DataFrame:
+    """Add ``other_fact`` and ``other_id``: the first fact of the next row in digest order that has one.
+
+    Only buckets of a digest prefix are ordered; the last row of a bucket takes
+    the first fact of the buckets after it, and the very last that of the first.
+    """
     digest = seeded_key(seed, "id")
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % donors
+    fact = F.get("facts", F.lit(0))
+    rows = df.withColumns({
+        "__digest": digest,
+        "__bucket": F.substring(digest, 1, PREFIX),
+        "__own": F.when(fact.isNotNull(), F.struct(fact.alias("fact"), F.col("id").alias("id"))),
+    })
+    after = Window.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = (
+        rows.groupBy("__bucket")
+        .agg(F.min_by("__own", F.when(F.col("__own").isNotNull(), F.col("__digest"))).alias("head"))
+        .withColumn("__next", F.coalesce(
+            F.last("head", ignorenulls=True).over(after),
+            F.min_by("head", F.when(F.col("head").isNotNull(), F.col("__bucket"))).over(every),
+        ))
+        .drop("head")
+    )
+    later = Window.partitionBy("__bucket").orderBy(F.desc("__digest"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.select(bucket.alias("bucket"), digest.alias("digest"), F.get("facts", F.lit(0)).alias("fact"), "id")
-        .where(F.col("fact").isNotNull())
-        .groupBy("bucket")
-        .agg(F.min_by(F.struct("fact", "id"), "digest").alias("d"))
-        .select("bucket", F.col("d.fact").alias("other_fact"), F.col("d.id").alias("other_id"))
+        rows.withColumn("__later", F.last("__own", ignorenulls=True).over(later))
+        .join(heads, "__bucket")
+        .withColumn("__later", F.coalesce("__later", "__next"))
+        .withColumns({"other_fact": F.col("__later.fact"), "other_id": F.col("__later.id")})
+        .drop("__digest", "__bucket", "__own", "__later", "__next")
     )
 
 
-def perturb(df: DataFrame, kind: str, seed: int = 7, donors: int = DONORS) -> DataFrame:
+def perturb(df: DataFrame, kind: str, seed: int = 7) -> DataFrame:
     """A variant of every row ``(id, question, facts)`` it applies to, with ``changed``.
 
-    Distractor facts come from another row through a key join with one donor
-    per hash bucket, so a donor table is never larger than ``donors`` rows.
+    Distractor facts come from the next row in digest order, so every row has
+    one as soon as two rows with facts exist.
     """
     if kind in ("add_fact", "replace_fact"):
-        ask = F.conv(F.substring(seeded_key(seed, F.lit("ask"), "id"), 1, 8), 16, 10).cast("long") % donors
-        joined = df.withColumn("bucket", ask).join(_donor_facts(df, seed, donors), "bucket", "left")
+        joined = _with_next_fact(df, seed)
         usable = F.col("other_fact").isNotNull() & (F.col("other_id") != F.col("id"))
         if kind == "add_fact":
             new = F.concat("facts", F.array("other_fact"))
@@ -45,7 +65,7 @@ def perturb(df: DataFrame, kind: str, seed: int = 7, donors: int = DONORS) -> Da
             new = F.concat(F.slice("facts", F.lit(1), F.greatest(F.size("facts") - 1, F.lit(0))), F.array("other_fact"))
         return (
             joined.withColumns({"facts": F.when(usable, new).otherwise(F.col("facts")), "changed": usable})
-            .drop("bucket", "other_fact", "other_id")
+            .drop("other_fact", "other_id")
         )
     if kind == "alter_word":
         # a typo: the two middle letters of the first fact change places

@@ -285,18 +285,13 @@ def _sentences(name: str, tab: str) -> str:
     )
 
 
-def _hash_bucket(text: str) -> str:
-    return f"(('0x' || substring(md5({text}), 1, 8))::BIGINT % 4096)"
-
-
-PERTURB = EX + f""",
-donor AS (
-  SELECT {_hash_bucket("'7:' || id")} AS bucket, arg_min(facts[1], md5('7:' || id)) AS other_fact, arg_min(id, md5('7:' || id)) AS other_id
-  FROM ex GROUP BY 1
+PERTURB = EX + """,
+ring AS (
+  SELECT *, row_number() OVER (ORDER BY md5('7:' || id), id) AS place, count(*) OVER () AS n FROM ex WHERE len(facts) > 0
 ),
 asked AS (
-  SELECT ex.id, ex.type, ex.question, ex.answer, ex.facts, d.other_fact
-  FROM ex JOIN donor d ON d.bucket = {_hash_bucket("'7:ask:' || ex.id")} WHERE d.other_id <> ex.id
+  SELECT r.id, r.type, r.question, r.answer, r.facts, d.facts[1] AS other_fact
+  FROM ring r JOIN ring d ON d.place = r.place % greatest(r.n, 1) + 1 WHERE d.id <> r.id
 ),
 swapped AS (
   SELECT id, type, question AS old, regexp_replace(question, '^(.*(?:, |^Are ))(.+?) (or|and) (.+?)([?]| from .*[?])$', '\\1\\4 \\3 \\2\\5') AS question, answer, facts

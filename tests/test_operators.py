@@ -217,3 +217,24 @@ def test_plans_have_no_cross_joins(spark, sf):
     for name in ("self_ask_examples", "few_shot_prompts", "evaluation_wide", "allow_list_filter", "conditional_agreement"):
         plan = _plan(registry.QUERIES[name](spark, sf))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_every_row_gets_another_rows_fact(spark):
+    from hopframe.operators.perturb import perturb
+
+    rows = [(f"r{i}", "q?", [f"fact {i}"] if i % 5 else []) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, question string, facts array<string>")
+    got = perturb(df, "add_fact").collect()
+    assert len(got) == 300 and all(r["changed"] and r["facts"][-1] != f"fact {r['id'][1:]}" for r in got)
+    two = perturb(df.where("id in ('r1', 'r2')"), "replace_fact").collect()
+    assert {r["id"]: r["facts"] for r in two} == {"r1": ["fact 2"], "r2": ["fact 1"]}
+
+
+def test_a_key_hot_on_the_right_is_split(spark, monkeypatch):
+    from hopframe.operators import overlap
+
+    monkeypatch.setattr(overlap, "KEY_ROWS", 3)
+    left = spark.createDataFrame([("abcdef ghij",), ("zzzz yyyy",)], "t string")
+    right = spark.createDataFrame([(f"abcdef ghi{c}",) for c in "abcdefghijklmno"] + [("zzzz yyyx",)], "t string")
+    got = {(r["text_a"], r["text_b"]) for r in overlap.fuzzy_pairs(left, right, "t").collect()}
+    assert got == {("abcdef ghij", f"abcdef ghi{c}") for c in "abcdefghijklmno"} | {("zzzz yyyy", "zzzz yyyx")}
