@@ -60,6 +60,9 @@ def symbol_table() -> np.ndarray:
     return table
 
 
+SYMBOL_OF = symbol_table().astype(np.uint8)
+
+
 class Words:
     """Codes of the subsequences of words of one length."""
 
@@ -69,7 +72,7 @@ class Words:
     def codes(self, words: list[str]):
         """(codes, weight) of each way to pick three or four characters within the span; rows are words."""
         flat = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        s = self.symbols[flat].reshape(len(words), -1)
+        s = self.symbols[flat].reshape(len(words), -1).astype(np.int64)
         width = s.shape[1]
         for offsets, weight in PATTERNS:
             last = offsets[-1]
@@ -112,7 +115,7 @@ class Model:
 
     def __init__(self, table: np.ndarray, bias: float, slope: float, middle: float):
         self.table, self.bias, self.slope, self.middle = table, bias, slope, middle
-        self.words = Words(symbol_table())
+        self.words = Words(SYMBOL_OF)
         self.seen: dict[str, float] = {}
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -171,8 +174,15 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 25) -> np.
     ridge[-1, -1] = 1e-3
     for _ in range(steps):
         active = y * (x @ w) < 1
-        xa, ca = x[active].astype(np.float64), cost[active]
-        new = np.linalg.solve(ridge + (xa * ca[:, None]).T @ xa, (xa * ca[:, None]).T @ y[active])
+        square, target = ridge.copy(), np.zeros(x.shape[1])
+        rows = np.flatnonzero(active)
+        for at in range(0, len(rows), 2000):
+            some = rows[at : at + 2000]
+            xa = x[some].astype(np.float64)
+            weighed = xa * cost[some][:, None]
+            square += weighed.T @ xa
+            target += weighed.T @ y[some]
+        new = np.linalg.solve(square, target)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -194,7 +204,8 @@ def fit(bags: list[tuple[int, list[str]]], odds_of_all: float | None = None, rou
     for label, sentences in bags:
         for s in sentences:
             label_of[s] = min(label, label_of.get(s, 1))
-    held = {s: {p for t in tokens_of(s) if len(w := plain(t)) >= 2 for p in pieces(w)} for s in label_of}
+    one: dict[str, str] = {}  # a word is held once, however many sentences have it
+    held = {s: tuple({one.setdefault(p, p) for t in tokens_of(s) if len(w := plain(t)) >= 2 for p in pieces(w)}) for s in label_of}
     docs = [(label, sorted(set().union(*(held[s] for s in sentences)))) for label, sentences in bags if sentences]
     docs = [d for d in docs if d[1]]
     words_in: list[Counter] = [Counter(), Counter()]
@@ -216,14 +227,14 @@ def fit(bags: list[tuple[int, list[str]]], odds_of_all: float | None = None, rou
     clean = sorted(words_in[0])
     rng = np.random.default_rng(seed)
     # Insults with one strange character are examples too, of less weight.
-    for w in [w for w, k in words_in[1].items() if k >= SUPPORT and w in examples]:
+    for w in sorted(w for w, k in words_in[1].items() if k >= SUPPORT and w in examples):
         for at in range(2, len(w) - 1):
             examples.setdefault(w[:at] + chr(int(rng.integers(ord("a"), ord("z") + 1))) + w[at:], 1)
     counter = set(rng.choice(clean, size=min(len(clean), 8_000), replace=False).tolist()) if clean else set()
-    maker = Words(symbol_table())
+    maker = Words(SYMBOL_OF)
     model = None
     for _ in range(rounds):
-        positive = [w for w, _ in examples.most_common() if words_in[0][w] * 20 <= words_in[1][w]]
+        positive = [w for w in sorted(examples, key=lambda w: (-examples[w], w)) if words_in[0][w] * 20 <= words_in[1][w]]
         negative = sorted(counter - set(positive))
         if not positive or not negative:
             break
