@@ -287,11 +287,11 @@ def _sentences(name: str, tab: str) -> str:
 
 PERTURB = EX + """,
 ring AS (
-  SELECT *, row_number() OVER (ORDER BY md5('7:' || id), id) AS place, count(*) OVER () AS n FROM ex WHERE len(facts) > 0
+  SELECT *, row_number() OVER (ORDER BY md5('7:' || id), id) AS place, count(*) OVER () AS ring_size FROM ex WHERE len(facts) > 0
 ),
 asked AS (
   SELECT r.id, r.type, r.question, r.answer, r.facts, d.facts[1] AS other_fact
-  FROM ring r JOIN ring d ON d.place = r.place % greatest(r.n, 1) + 1 WHERE d.id <> r.id
+  FROM ring r JOIN ring d ON d.place = r.place % r.ring_size + 1 WHERE d.id <> r.id
 ),
 swapped AS (
   SELECT id, type, question AS old, regexp_replace(question, '^(.*(?:, |^Are ))(.+?) (or|and) (.+?)([?]| from .*[?])$', '\\1\\4 \\3 \\2\\5') AS question, answer, facts
