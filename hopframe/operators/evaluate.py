@@ -101,8 +101,10 @@ def pending(examples: DataFrame, responses: DataFrame, on: tuple[str, ...] = ("r
 
 
 def append_new(old: DataFrame, new: DataFrame, on: tuple[str, ...] = ("run_id", "id")) -> DataFrame:
-    """Earlier responses and those new ones that are not among them."""
-    return old.unionByName(new.join(old.select(*on), list(on), "left_anti"))
+    """Earlier responses and those new ones that are not among them; of new rows that share a key the least stays."""
+    rest = [c for c in new.columns if c not in on]
+    once = new.groupBy(*on).agg(F.min(F.struct(*rest)).alias("__row")).select(*on, "__row.*") if rest else new.distinct()
+    return old.unionByName(once.join(old.select(*on), list(on), "left_anti"))
 
 
 def completeness(expected: DataFrame, responses: DataFrame, on: tuple[str, ...] = ("run_id", "id")) -> DataFrame:

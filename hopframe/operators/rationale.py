@@ -60,6 +60,9 @@ NUMBER_PATTERN = r"^[-+]?\d[\d,]*(?:\.\d+)?$"
 # An entity table up to this size travels with the plan as one map; a larger one is joined.
 MAP_LIMIT = 500
 
+# Copies of a joined entity among which the rows that name it are dealt.
+SALTS = 16
+
 
 def default_entity_type(name: Column) -> Column:
     """Type of a name by its form alone; null where the form says nothing."""
@@ -80,18 +83,20 @@ def with_entity_types(
     entities: DataFrame | None = None,
     classifier: Callable[[Column], Column] = default_entity_type,
     map_limit: int = MAP_LIMIT,
-    key: str = "id",
 ) -> DataFrame:
     """Add ``out``: the entity type of every element of the array ``names``.
 
     ``entities(name, type)`` lists known names and wins over the classifier.  A
-    table of at most ``map_limit`` rows is looked up inside the row; a larger
-    one is joined with the distinct names, so each name is typed once, and the
-    types are put back by row key.
+    table of at most ``map_limit`` rows is looked up inside the row.  A larger
+    one is joined with the names of each distinct array, dealt over copies of
+    its entries so that a frequent name is no single task, and the types come
+    back by the array, which alone decides them.  Both ways give the same: a
+    null name has the unknown type, a null array stays null, and rows that
+    share an id keep their own types.
     """
     if entities is None:
         return df.withColumn(out, F.transform(names, lambda x: _classify(x, None, classifier)))
-    listed = entities.groupBy("name").agg(F.min("type").alias("type"))
+    listed = entities.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("type").alias("type"))
     if listed.limit(map_limit + 1).count() <= map_limit:
         table = listed.agg(F.map_from_entries(F.collect_list(F.struct("name", "type")))).scalar()
         return (
@@ -104,20 +109,21 @@ def with_entity_types(
             )
             .drop("__entities")
         )
-    exploded = df.select(key, F.posexplode(names).alias("ord", "name"))
+    copies = listed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     typed = (
-        exploded.select("name").distinct()
-        .join(listed, "name", "left")
-        .select("name", _classify(F.col("name"), F.col("type"), classifier).alias("type"))
-    )
-    regrouped = (
-        exploded.join(typed, "name")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "type"))).alias("hits"))
-        .select(key, F.col("hits.type").alias(out))
+        df.select(names.alias("__names")).distinct()
+        .select("__names", F.pmod(F.xxhash64("__names"), F.lit(SALTS)).cast("int").alias("__salt"),
+                F.posexplode("__names").alias("ord", "name"))
+        .join(copies, ["name", "__salt"], "left")
+        .groupBy("__names")
+        .agg(F.array_sort(F.collect_list(
+            F.struct("ord", _classify(F.col("name"), F.col("type"), classifier).alias("type")))).alias("hits"))
+        .select("__names", F.col("hits.type").alias("__found"))
     )
-    return df.join(regrouped, key, "left").withColumn(
-        out, F.coalesce(out, F.array().cast("array<string>"))
+    found = F.when(F.col("__names").isNotNull(), F.coalesce("__found", F.array().cast("array<string>")))
+    return (
+        df.withColumn("__names", names).join(typed, "__names", "left")
+        .withColumn(out, found).drop("__names", "__found")
     )
 
 

@@ -402,7 +402,13 @@ strat AS (
     q["few_shot_prompts"] = (
         f"WITH {few} SELECT id, {fewp} AS prompt, {_tok(fewp)}::INT AS num_prompt_tokens FROM ex JOIN chosen USING (id)"
     )
-    cot_few = f"{EX}, {_pool('pool', 'chain_of_thought_shot')}, chosen AS ({_per_row('pool_all')})"
+    digit = "('0x' || substring(md5('42:' || id || ':{}'), 1, 15))::BIGINT"
+    cot_few = (
+        f"{EX}, {_pool('pool', 'chain_of_thought_shot')}, "
+        "placed AS (SELECT text, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS place FROM pool_all), "
+        f"d AS (SELECT id, {digit.format(0)} % size AS a, {digit.format(1)} % (size - 1) AS b FROM ex, (SELECT count(*) AS size FROM placed)), "
+        "chosen AS (SELECT d.id, [p.text, q.text] AS texts FROM d JOIN placed p ON p.place = a JOIN placed q ON q.place = b + (b >= a)::INT)"
+    )
     cotp = f"{_block('texts')} || chain_of_thought_prompt"
     q["few_shot_per_row"] = (
         f"WITH {cot_few} SELECT id, {cotp} AS prompt, {_tok(cotp)}::INT AS num_prompt_tokens FROM ex JOIN chosen USING (id)"

@@ -18,9 +18,14 @@ def write_examples(df: DataFrame, root: str, partition_cols: list[str] | None =
 
 
 def write_filtered(df: DataFrame, root: str, max_tokens: int) -> None:
-    """A copy of the examples within a token limit, kept apart by that limit."""
+    """A copy of the examples within a token limit, kept apart by that limit; writing it again replaces its partitions."""
     kept = filter_tokens(df, max_tokens).withColumn("max_tokens", F.lit(max_tokens))
-    write_examples(kept, root, ["max_tokens"] + [c for c in PARTITIONS if c in df.columns], mode="append")
+    _replace_partitions(kept, root, ["max_tokens"] + [c for c in PARTITIONS if c in df.columns])
+
+
+def _replace_partitions(df: DataFrame, root: str, cols: list[str]) -> None:
+    """Write partitions in place of those of the same values; all others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*cols).parquet(root)
 
 
 def write_chunks(df: DataFrame, root: str, chunks: int = 15, key: str = "pos", keep_remainder: bool = False) -> None:
@@ -44,9 +49,9 @@ def accumulate_ids(spark: SparkSession, root: str, new: DataFrame, version: int)
 
 
 def write_run(scores: DataFrame, macro: DataFrame, root: str) -> None:
-    """Scores and averages as Parquet tables, partitioned by run."""
-    scores.write.mode("append").partitionBy("run_id").parquet(f"{root}/scores")
-    macro.write.mode("append").parquet(f"{root}/macro")
+    """Scores and averages as Parquet tables, partitioned by run; writing a run again replaces only that run."""
+    for df, name in ((scores, "scores"), (macro, "macro")):
+        _replace_partitions(df, f"{root}/{name}", ["run_id"])
 
 
 def nested_results(scores: DataFrame, macro: DataFrame, runs: DataFrame) -> DataFrame:

@@ -54,6 +54,17 @@ def test_entity_types_join_equals_map(spark, sf):
     assert small.exceptAll(large).count() == 0 and large.count() == small.count()
 
 
+def test_entity_types_of_nulls_and_repeated_ids(spark):
+    rows = [("1", ["a", None]), ("1", ["2020-01-01"]), ("2", None), ("3", []), ("1", ["a", None])]
+    df = spark.createDataFrame(rows, "id string, names array<string>")
+    ents = spark.createDataFrame([("a", "ORG"), (None, "LOC")], "name string, type string")
+    for limit in (0, 500):
+        got = ra.with_entity_types(df, F.col("names"), "types", ents, map_limit=limit)
+        assert got.columns == ["id", "names", "types"]
+        assert sorted((r.id, str(r.types)) for r in got.collect()) == [
+            ("1", "['DATE']"), ("1", "['ORG', 'PERSON']"), ("1", "['ORG', 'PERSON']"), ("2", "None"), ("3", "[]")]
+
+
 def test_split_is_an_exact_partition(spark):
     df = spark.range(5000).selectExpr("cast(id AS string) AS id")
     head, rest = od.split_exact(df, 777, 1)
@@ -115,6 +126,12 @@ def test_exemplars_sticky_and_per_row(spark):
     per_row = {frozenset(w for w in r.prompt.split() if w[0] == "T" and w[1:].isdigit())
                for r in exm.with_exemplars(df, pool, 2, False).collect()}
     assert len(per_row) > 5
+    large = spark.range(5000).selectExpr("cast(id AS string) AS id", "concat('T', id) AS text")
+    drawn = [[w for w in r.prompt.split() if w[0] == "T" and w[1:].isdigit()]
+             for r in exm.with_exemplars(df, large, 3, False).collect()]
+    assert all(len(set(d)) == 3 for d in drawn) and len({w for d in drawn for w in d}) > 100
+    assert exm.with_exemplars(df, pool.limit(0), 2, False).first().prompt == "P"
+    assert all(r.prompt.count("START") == 2 for r in exm.with_exemplars(df, pool.limit(2), 4, False).collect())
     one = exm.with_exemplars(df, pool, 2, True).first().prompt
     assert one.startswith("Examples:\nSTART\n") and one.endswith("\nEND\n\nP") and "\nEND\n\nSTART\n" in one
 
@@ -158,6 +175,7 @@ def test_resume_equals_one_shot(spark):
     todo = ev.pending(rows, first)
     both = ev.append_new(first, todo.unionByName(first))  # a repeated batch does no harm
     assert both.count() == 20 and both.exceptAll(rows).count() == 0
+    assert ev.append_new(first, todo.unionByName(todo)).count() == 20
     report = ev.completeness(rows, both).first()
     assert report.complete and report.missing == 0
     assert ev.completeness(rows, first).first().missing == 13

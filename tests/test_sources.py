@@ -124,7 +124,9 @@ def test_run_documents(spark, tmp_path, sf):
     rows = derived.responses(spark, sf).where("run_no IN (1, 9)")
     scored = ev.score(rows).select("run_id", "id", "pos", "correct", *ev.METRICS)
     macro = ev.macro(scored)
-    sinks.write_run(scored, macro, str(tmp_path / "run"))
+    for _ in range(2):
+        sinks.write_run(scored, macro, str(tmp_path / "run"))
+    assert spark.read.parquet(str(tmp_path / "run/macro")).count() == 2
     stored = spark.read.parquet(str(tmp_path / "run/scores"))
     assert stored.count() == scored.count()
     docs = sinks.nested_results(stored, macro, derived.runs(spark))
