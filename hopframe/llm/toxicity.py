@@ -16,11 +16,14 @@ Whole texts are scored: every distinct word, and runs of single characters
 joined.  Words beyond 24 characters are scored in overlapping pieces.
 
 Bounds of the fit: ``docs_per_class`` labelled documents of each class and
-``sentences_per_doc`` sentences of each, of at most ``sentence_chars``.
+``sentences_per_doc`` sentences of each, of at most ``sentence_chars``.  The
+bounded sample is fitted in one task of an executor, in an order of its own, so
+that a retry gives the same model; only the model comes to the driver.
 
 Nulls: null and empty texts have no word and the curve's lowest score.  A
 document whose labels differ counts as toxic.  Without both classes all
-scores are 0.  Documents that share an id share its label.
+scores are 0.  Documents that share an id share its label, and the fit sees one
+of them.
 """
 
 from __future__ import annotations
@@ -313,10 +316,21 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         lambda i: F.substring(s, i * SENTENCE_CHARS + 1, F.lit(SENTENCE_CHARS)),
     )))
     some = F.slice(F.array_sort(F.transform(cut, lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s")))), 1, SENTENCES_PER_DOC)
-    rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen), key).select("toxic", F.transform(some, lambda s: s["s"]).alias("s"), key)
-    table = rows.orderBy(key).toArrow()  # at most docs_per_class documents of each class
-    bags = list(zip(table.column("toxic").to_pylist(), table.column("s").to_pylist(), strict=True))
-    return fit(bags, number.get(1, 0) / number[0] if number.get(0) else None)
+    sampled = docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen), key).select(key, "toxic", some.alias("s"))
+    # One row of each id, so that a much repeated id leaves the sample bounded.
+    rows = sampled.groupBy(key, "toxic").agg(F.max("s").alias("s")).select("toxic", F.transform("s", lambda s: s["s"]).alias("s"))
+    odds_of_all = number.get(1, 0) / number[0] if number.get(0) else None
+
+    def run(batches):
+        bags = [bag for batch in batches for bag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        model = fit(sorted(bags), odds_of_all)
+        values = [model.table.tobytes(), model.bias, model.slope, model.middle]
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["subsequences", "bias", "slope", "middle"])
+
+    fitted = rows.repartition(1).mapInArrow(run, "subsequences binary, bias double, slope double, middle double").head()
+    if fitted is None:
+        return fit([])
+    return Model(np.frombuffer(fitted["subsequences"], dtype=np.float32), fitted["bias"], fitted["slope"], fitted["middle"])
 
 
 def add_scores(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
