@@ -128,13 +128,19 @@ def numbered(items: Column) -> Column:
     """Repeated elements told apart by a running number ('the 0', 'the 1', ...).
 
     A multiset then is a plain set, and shared elements are counted with repeats.
+    Equal elements are neighbours once sorted, so each run is numbered from its
+    start to the next one's: linear in the array after the sort.
     """
-    return let(
-        F.array_sort(items),
-        lambda a: F.transform(
-            a, lambda g, i: F.concat_ws("\x01", g, (i + 1 - F.array_position(a, g)).cast("string"))
-        ),
-    )
+
+    def runs(a: Column) -> Column:
+        begins = lambda g, i: F.when((i == 0) | ~g.eqNullSafe(F.get(a, i - 1)), i)
+        starts = F.filter(F.transform(a, begins), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.flatten(F.transform(at, lambda i, j: F.transform(
+            F.sequence(F.lit(0), F.coalesce(F.get(at, j + 1), F.size(a)) - i - 1),
+            lambda k: F.concat_ws("\x01", F.get(a, i), k.cast("string")),
+        ))))
+
+    return let(F.array_sort(items), runs)
 
 
 def safe_div(num: Column, den: Column) -> Column:

@@ -71,6 +71,13 @@ def test_result_documents_round_trip(spark, tmp_path):
     assert [r.f1_2 for r in scores] == [0.5, 0.25] and scores[0].run_id == own
     resp = prepared.read_responses(spark, str(folder / f"{own}-responses.json")).orderBy("pos").collect()
     assert [(r.pos, r.response) for r in resp] == [(0, "r0"), (1, "r1")]
+    _dump(folder / f"{own}-responses-on-other-set.json", [{"response": "x0", "answer": "a", "self_ask": True}])
+    both = prepared.read_responses(spark, str(folder / f"{own}-responses*.json")).collect()
+    assert {(r.run_id, r.eval_set, r.pos, r.response) for r in both} == {
+        (own, None, 0, "r0"), (own, None, 1, "r1"), (own, "other-set", 0, "x0")}
+    sets = prepared.read_scores(spark, str(folder / f"{own}-results*.json")).groupBy("run_id", "eval_set").count().collect()
+    assert sorted((r.run_id, r.eval_set or "", r["count"]) for r in sets) == [
+        (own, "", 2), (own, "self_ask-answer_first=False-random_facts=True-without-examplars", 2)]
     old = tmp_path / "old"
     old.mkdir()
     _dump(old / "t5-small-direct-with-examplars-results.json", doc)

@@ -83,3 +83,10 @@ def test_self_ask_and_yes_no(spark):
 def test_constant_column_has_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0)], "a double, b double")
     assert df.agg(T.safe_corr(F.col("a"), F.col("b")).alias("c")).first().c is None
+
+
+def test_numbered_runs(spark):
+    rows = [(["b", "a", "b", "b"],), ([],), (None,), (["x"] * 20_000,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<string>").select(T.numbered(F.col("a"))).collect()]
+    assert got[0] == ["a\x010", "b\x010", "b\x011", "b\x012"] and got[1] == [] and got[2] is None
+    assert len(set(got[3])) == 20_000 and got[3][-1] == "x\x0119999"
