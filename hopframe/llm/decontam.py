@@ -216,9 +216,10 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", width:
     return match(index, windows, key, width, slop)
 
 
-def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents without an exact window of any item; rows of a contaminated id go."""
-    bad = stored(contamination(docs, items, key).where("n_hit > 0").select(F.col(key).alias("__key")).distinct(), "contaminated")
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents without an exact window of any item; each row is judged by its own text, whatever rows share its id."""
+    marked = docs.withColumn("__key", F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    judged = contamination(marked.select("__key", F.col(text).alias("text")), items, "__key")
+    bad = stored(judged.where("n_hit > 0").select("__key").distinct(), "contaminated")
     small = bad.limit(1_000_001).count() <= 1_000_000
-    return docs.join(F.broadcast(bad) if small else bad, docs[key].eqNullSafe(bad["__key"]), "left_anti")
-
+    return marked.join(F.broadcast(bad) if small else bad, "__key", "left_anti").select(*docs.columns)

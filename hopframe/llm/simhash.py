@@ -154,16 +154,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     return marked.join(classes, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: the one whose id names it; rows repeating its id and component leave one, the least text."""
-    from pyspark.sql import Window
-
-    kept = (
-        near_duplicates(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id")))
-        .select(F.col(key).alias("__key")).distinct()
-    )
-    row = Window.partitionBy(key).orderBy(text)
-    return (
-        docs.join(kept, docs[key].eqNullSafe(kept["__key"]), "left_semi")
-        .withColumn("__place", F.row_number().over(row)).where("__place = 1").drop("__place")
-    )
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", grouped=near_duplicates) -> DataFrame:
+    """One row of each component: the one of the least id, then of the least text digest; rows without an id come last.
+
+    Rows are told apart by id and text, so rows that share an id, or have none,
+    stand for themselves.  ``grouped`` takes (documents, key, text) and names
+    the ``component_id`` of each key; here the digest of the text is the key.
+    """
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    found = grouped(docs.select(digest.alias("__text"), text), "__text", text).groupBy("__text").agg(F.min("component_id").alias("__component"))
+    own = F.when(F.col(key).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(key).cast("string")))
+    # Rows of the same id and text become one before any join, however many there are.
+    single = docs.groupBy(digest.alias("__text"), own.alias("__own")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    least = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), digest.alias("__text"), own.alias("__own")))
+    of_text = docs.groupBy(digest.alias("__text")).agg(least.alias("best"))
+    chosen = of_text.join(found, "__text").groupBy("__component").agg(F.min("best").alias("best")).select("best.__text", "best.__own")
+    return single.join(chosen, ["__text", "__own"], "left_semi").select("__row.*")

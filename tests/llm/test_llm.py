@@ -183,6 +183,19 @@ def test_simhash_edges(spark, odd, none):
     assert 1 in kept and 2 not in kept and kept.count(7) <= 1 and set(simhash.keep_one(odd).columns) == set(odd.columns)
 
 
+def test_keep_one_and_clean_judge_rows(spark):
+    """Several rows without an id, and one id with two texts, one of which another id copies."""
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(None, text[0], "s"), (None, text[1], "s"), (None, text[1], "s"), (1, text[2], "s"), (1, text[3], "s"), (0, text[3], "s"), (9, text[0], "s"), (2, text[4], "s"), (2, text[4], "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    kept = sorted([(r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()], key=key)
+    assert kept == [(0, text[3]), (1, text[2]), (2, text[4]), (9, text[0]), (None, text[1])]
+    bench = spark.createDataFrame([("i", text[1]), ("j", text[2])], "item_id string, text string")
+    left = sorted([(r["doc_id"], r["text"]) for r in decontam.clean(docs, bench).collect()], key=key)
+    assert left == sorted([(r[0], r[1]) for r in rows if r[1] not in (text[1], text[2])], key=key)
+
+
 # --- 3 language model
 
 
