@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hopframe.llm import chat, decontam, grading, langid, lm, mixing, quality_rules, queries, sharding, simhash, sql, toxicity
+from hopframe.llm import chat, decontam, grading, langid, lm, mixing, quality_rules, queries, resemblance, sharding, simhash, sql, toxicity
 from hopframe.llm._text import Tokens, lower_table, pack, pack_sorted, plain_words, space_words, unpack, unpack_sorted
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, key string, fp long"
@@ -196,6 +196,37 @@ def test_keep_one_and_clean_judge_rows(spark):
     assert left == sorted([(r[0], r[1]) for r in rows if r[1] not in (text[1], text[2])], key=key)
 
 
+def test_planted_copies_by_similarity(spark):
+    """Copies of 400 words with so many changed words that five-word shingles agree to 0.98 ... 0.6, a chain, and brute force over all."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for changed in (1, 2, 4, 7, 8, 9, 10, 14, 20):
+        for _ in range(4):
+            base = rng.choice(vocabulary, 400).tolist()
+            copy = list(base)
+            for at in np.linspace(5, 390, changed).astype(int):
+                copy[at] = "new"
+            texts += [" ".join(base), " ".join(copy).upper()]
+    chain = rng.choice(vocabulary, 300).tolist()
+    texts += [" ".join(chain[i : i + 240]) for i in range(0, 60, 10)]
+    texts += ["", "  ", "a b", "A  b", "a c"]
+    cut = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in cut]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                group = [group[j] if g == group[i] else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    want = sorted({min(i for i, g in enumerate(group) if g == h) for h in group})
+    assert got == want and len(texts) - len(want) > 25
+
+
 # --- 3 language model
 
 
