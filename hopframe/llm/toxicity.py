@@ -162,7 +162,7 @@ def _kernel(words: list[str], maker: Words, columns: np.ndarray, features: np.nd
         by_length.setdefault(len(w), []).append(i)
     for n, rows in by_length.items():
         for at in range(0, len(rows), 200):
-            some = rows[at : at + 400]
+            some = rows[at : at + 200]
             for codes, weight in maker.codes([words[i] for i in some]):
                 out[some] += features[columns[codes]].sum(axis=1) * weight
         out[rows] /= length_norm(n)

@@ -365,6 +365,24 @@ def test_toxicity_finds_altered_insults(spark):
     assert score("") < 0.5 and score("z" * 3000) < 0.7
 
 
+def test_kernel_of_many_words_of_one_length():
+    """1,000 words of one length have the kernel each has alone, and the folded margins are those of the features."""
+    rng = np.random.default_rng(4)
+    found = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(1000)]
+    maker, marks = toxicity.Words(toxicity.SYMBOL_OF), found[:12]
+    used = sorted({int(c) for w in marks for codes, _ in maker.codes([w]) for c in np.unique(codes)})
+    columns = np.full(2 * toxicity.SLOTS, len(used), dtype=np.int32)
+    columns[used] = np.arange(len(used))
+    features = rng.normal(size=(len(used) + 1, len(marks))).astype(np.float32)
+    features[-1] = 0
+    got = toxicity._kernel(found, maker, columns, features)
+    assert np.allclose(got, np.vstack([toxicity._kernel([w], maker, columns, features) for w in found]), atol=1e-4)
+    weights = rng.normal(size=len(marks))
+    table = np.zeros(2 * toxicity.SLOTS, dtype=np.float32)
+    table[used] = (features[:-1] @ weights).astype(np.float32)
+    assert np.allclose(toxicity.Model(table, 0.25, 1.0, 0.0).margins(found), got @ weights + 0.25, atol=1e-3)
+
+
 def test_toxicity_edges(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (4, 0), (5, 0), (8, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.learn(odd, labels)
