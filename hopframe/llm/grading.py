@@ -7,8 +7,9 @@ characters, capitals, length), and binned figures of the text: share of distinct
 distinct lines, mean word length.  The expected grade is the sum of P(grade >
 j); the tail probability P(grade >= best) selects.
 
-The fit uses at most ``docs_per_grade`` documents of each grade.  Thresholds
-are kept in order by summing positive steps.
+The fit uses at most ``docs_per_grade`` documents of each grade, one row of
+each id, in one task of an executor; only the model comes to the driver.
+Thresholds are kept in order by summing positive steps.
 
 Nulls: a null or empty text has only its figures' bins.  Rows without a grade are not learned
 from.  Without two grades every document has the mean grade 0 and tail 0.
@@ -138,22 +139,26 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """``labels`` holds (id, grade); of rows with several grades the lowest counts."""
     graded = labels.where("grade is not null").groupBy(key).agg(F.min("grade").alias("grade"))
     chosen = sample_per_class(graded.join(docs.select(key).distinct(), key, "left_semi"), "grade", key, docs_per_grade)
-    rows = docs.join(F.broadcast(chosen), key).select(key, "grade", text)  # at most docs_per_grade of each grade
+    # One row of each id, so that a much repeated id leaves the sample bounded: the least text, found by its digest.
+    sampled = docs.join(F.broadcast(chosen), key).select(key, "grade", F.struct(F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), F.col(text).alias("text")).alias("__row"))
+    rows = sampled.groupBy(key, "grade").agg(F.min("__row").alias("__row")).select(F.col(key).cast("string").alias("id"), "grade", "__row.text")
+    numbers = dict(graded.groupBy("grade").count().collect())  # one row per grade
+    shares = {g: n / sum(numbers.values()) for g, n in numbers.items()}
 
     def run(batches):
+        found = []
         for batch in batches:
-            found = list(features(*text_buffers(batch.column(2))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.string()), batch.column(1), pa.array([pack(i) for i, _ in found], pa.binary()), pa.array([pack(v) for _, v in found], pa.binary())],
-                ["id", "grade", "at", "value"],
-            )
-
-    table = rows.mapInArrow(run, "id string, grade int, at binary, value binary").orderBy("id").toArrow()
-    numbers = dict(graded.groupBy("grade").count().collect())  # one row per grade
-    return fit([
-        (g, unpack(i).astype(np.int64), unpack(v).astype(np.int64))
-        for g, i, v in zip(*(table.column(c).to_pylist() for c in ("grade", "at", "value")), strict=True)
-    ], {g: n / sum(numbers.values()) for g, n in numbers.items()})
+            got = [(pack(i), pack(v)) for i, v in features(*text_buffers(batch.column(2)))]
+            found += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), got, strict=True)
+        found.sort(key=lambda r: r[0])
+        model = fit([(g, unpack(i).astype(np.int64), unpack(v).astype(np.int64)) for _, g, (i, v) in found], shares)
+        values = [model.weights.tobytes(), model.thresholds.astype(np.float64).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], ["weights", "thresholds"])
+
+    fitted = rows.repartition(1).mapInArrow(run, "weights binary, thresholds binary").head()
+    if fitted is None:
+        return fit([], {})
+    return Model(np.frombuffer(fitted["weights"], dtype=np.float32), np.frombuffer(fitted["thresholds"], dtype=np.float64))
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", cut: float = 0.5) -> DataFrame:

@@ -403,6 +403,16 @@ def test_grades(spark, sf):
     assert all(0 <= r["tail"] <= 1 and r["tail"] <= r["expected_grade"] for r in rows)
 
 
+def test_repeated_id_counts_once_in_the_fit(spark):
+    """One id repeated many times: the model is that of the same table with each id once."""
+    rows = [(i, f"word{i % 7} {'good fine' if i % 2 else 'bad poor'} text{i % 3}", 2 * (i % 2)) for i in range(60)]
+    once = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    often = once.union(spark.createDataFrame([rows[4][:2]] * 500, "doc_id long, text string"))
+    ratings = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, grade int")
+    a, b = (grading.learn(d, ratings) for d in (once, often))
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.thresholds, b.thresholds) and len(a.thresholds)
+
+
 def test_thresholds_are_ordered():
     rng = np.random.default_rng(1)
     rows = [(g, np.array([g, 3 + g]), np.array([15, 15])) for g in rng.integers(0, 3, 300).tolist()]
