@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopframe.llm import chat, decontam, grading, langid, lm, mixing, quality_rules, sharding, simhash, toxicity
-from hopframe.llm._store import fold, table
+from hopframe.llm import chat, decontam, grading, langid, lm, mixing, packing, quality_rules, sharding, simhash, spelling, toxicity, whitening
+from hopframe.llm._store import fold, stored, table
 
 # The conversation that the formatting query adds to the table.
 ADDED = "</s>[INST] ok [/INST]"
@@ -75,6 +75,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pieces(table(spark, sf_dir, "documents"))
+    digests = stored(found.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "packing-pieces")
+    return packing.number_sequences(digests).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows, components=8)
+    error = whitening.identity_error(rows, model)
+    return (
+        whitening.whiten(rows, model)
+        .select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("place", "whitened"))
+        .select(
+            "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+            whitening.by_component(model.explained, F.col("place") + 1).alias("explained"), F.lit(error).alias("identity_error"),
+        )
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +110,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_rules, op2_simhash, op3_lm_scoring, op4_mixing, op5_sharding, op6_langid, op7_chat, op8_toxicity,
-        op9_quality_classifier, op10_decontamination, pipeline,
+        op9_quality_classifier, op10_decontamination, op11_packing, op12_spelling, op13_whitening, pipeline,
     )
     return {f.__name__: f for f in found}
