@@ -179,22 +179,34 @@ def _grams(side: str, col: str) -> str:
 
 
 SCORED = RESP + f""",
-toks AS (SELECT run_id, id, {_grams('tt', 'target')}, {_grams('rt', 'response')} FROM resp),
-grams AS (
-  SELECT run_id, id, 1 AS w, 't' AS side, unnest(tt) AS g FROM toks
-  UNION ALL SELECT run_id, id, 1, 'r', unnest(rt) FROM toks
-  UNION ALL SELECT run_id, id, 2, 't', unnest(list_transform(range(1, len(tt)), lambda i: tt[i] || ' ' || tt[i + 1])) FROM toks
-  UNION ALL SELECT run_id, id, 2, 'r', unnest(list_transform(range(1, len(rt)), lambda i: rt[i] || ' ' || rt[i + 1])) FROM toks
+sides AS (SELECT DISTINCT target AS body FROM resp UNION SELECT DISTINCT response FROM resp),
+worded AS (SELECT body, {_grams('words', 'body')} FROM sides),
+numbered AS MATERIALIZED (SELECT row_number() OVER () AS no, any_value(words) AS words, list(body) AS bodies FROM worded GROUP BY array_to_string(words, ' ')),
+nos AS (SELECT unnest(bodies) AS body, no, len(words) AS size FROM numbered),
+toks AS (
+  SELECT run_id, id, t.no AS tn, r.no AS rn, t.size AS ts, r.size AS rs
+  FROM resp JOIN nos t ON target = t.body JOIN nos r ON response = r.body
+),
+asked AS MATERIALIZED (SELECT DISTINCT tn, rn, ts FROM toks),
+grams AS MATERIALIZED (
+  SELECT no, g, count(*) AS c FROM (
+    SELECT no, unnest(words) AS g FROM numbered
+    UNION ALL SELECT no, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM numbered
+  ) GROUP BY no, g
+),
+wanted AS MATERIALIZED (SELECT tn, rn, g, c FROM asked JOIN grams ON no = tn WHERE tn <> rn),
+hits AS (
+  SELECT tn, rn, coalesce(sum(least(w.c, b.c)) FILTER (NOT contains(w.g, ' ')), 0) AS o1, coalesce(sum(least(w.c, b.c)) FILTER (contains(w.g, ' ')), 0) AS o2
+  FROM wanted w JOIN grams b ON b.no = w.rn AND b.g = w.g GROUP BY tn, rn
+  UNION ALL SELECT tn, rn, ts, greatest(ts - 1, 0) FROM asked WHERE tn = rn
 ),
-counted AS (SELECT run_id, id, w, g, count(*) FILTER (side = 't') AS a, count(*) FILTER (side = 'r') AS b FROM grams GROUP BY ALL),
-hits AS (SELECT run_id, id, sum(least(a, b)) FILTER (w = 1) AS o1, sum(least(a, b)) FILTER (w = 2) AS o2 FROM counted GROUP BY ALL),
 pr AS (
-  SELECT toks.run_id, toks.id,
-         CASE WHEN len(rt) = 0 THEN 0.0 ELSE coalesce(o1, 0)::DOUBLE / len(rt) END AS bleu_1,
-         CASE WHEN len(rt) < 2 THEN 0.0 ELSE coalesce(o2, 0)::DOUBLE / (len(rt) - 1) END AS bleu_2,
-         CASE WHEN len(tt) = 0 THEN 0.0 ELSE coalesce(o1, 0)::DOUBLE / len(tt) END AS rouge_1,
-         CASE WHEN len(tt) < 2 THEN 0.0 ELSE coalesce(o2, 0)::DOUBLE / (len(tt) - 1) END AS rouge_2
-  FROM toks LEFT JOIN hits USING (run_id, id)
+  SELECT run_id, id,
+         CASE WHEN rs = 0 THEN 0.0 ELSE coalesce(o1, 0)::DOUBLE / rs END AS bleu_1,
+         CASE WHEN rs < 2 THEN 0.0 ELSE coalesce(o2, 0)::DOUBLE / (rs - 1) END AS bleu_2,
+         CASE WHEN ts = 0 THEN 0.0 ELSE coalesce(o1, 0)::DOUBLE / ts END AS rouge_1,
+         CASE WHEN ts < 2 THEN 0.0 ELSE coalesce(o2, 0)::DOUBLE / (ts - 1) END AS rouge_2
+  FROM toks LEFT JOIN hits USING (tn, rn)
 ),
 scored AS (
   SELECT judged.*, bleu_1, bleu_2, rouge_1, rouge_2,
@@ -643,6 +655,15 @@ mixed AS (
         "SELECT CASE WHEN rn = 16 THEN 15 ELSE -1 END AS k, key, round(f, 6) AS f1_2 FROM o WHERE rn = 16 OR rn = total"
     )
 
+    q["middle_ranked"] = (
+        "WITH o AS (SELECT event_id, value::DOUBLE AS value, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) - 1 AS up, count(*) OVER () AS total FROM events), "
+        "p(place) AS (VALUES (500), (1000), (4321), (-2000)) "
+        "SELECT place::INT AS place, event_id, value FROM o JOIN p ON up = CASE WHEN place < 0 THEN total + place ELSE place END"
+    )
+    q["digest_batches"] = (
+        "WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS row_index FROM documents) "
+        "SELECT doc_id, row_index, (row_index // 64)::BIGINT AS batch_id FROM o WHERE row_index >= 128"
+    )
     q["sample_report"] = (
         f"WITH {SCORED}, r AS (SELECT s.id, s.pos, round(f1_2, 9) AS f, self_ask_prompt, self_ask_target FROM scored s JOIN ex USING (id) WHERE run_no = 7), "
         "t AS (SELECT 0 AS section_no, 'top' AS section, row_number() OVER (ORDER BY f DESC, id) AS rank, * FROM r), "

@@ -445,7 +445,7 @@ def stream_scores(spark, sf):
      .write.parquet(f"{base}/in"))
     truth = rows.select("run_id", "id", "answer", "target")
     job = st.stream_scores(
-        st.response_stream(spark, f"{base}/in"), truth, f"{base}/out", f"{base}/state", "3650 days", use_stemmer=False)
+        st.response_stream(spark, f"{base}/in"), truth, f"{base}/out", f"{base}/state", use_stemmer=False)
     job.awaitTermination()
     return _rounded(
         st.stored_scores(spark, f"{base}/out").select("run_id", "id", "correct", "self_ask", *METRICS_N), *METRICS_N)
@@ -589,10 +589,15 @@ def sample_report(spark, sf):
 
 @query
 def nth_ranked(spark, sf):
-    rows = _keyed_scores(spark, sf)
-    pick = lambda k: od.nth_ranked(rows, "f1_2", k, "key").select(
-        F.lit(k).alias("k"), "key", F.round("f1_2", 6).alias("f1_2"))
-    return pick(15).unionByName(pick(-1))
+    return od.ranked_rows(_keyed_scores(spark, sf), "f1_2", [15, -1], "key").select(
+        F.col("place").alias("k"), "key", F.round("f1_2", 6).alias("f1_2"))
+
+
+@query
+def middle_ranked(spark, sf):
+    """Events in the middle of the order by value, far from either end."""
+    rows = D.table(spark, sf, "events").select("event_id", F.col("value").cast("double").alias("value"))
+    return od.ranked_rows(rows, "value", [500, 1000, 4321, -2000], "event_id").select("place", "event_id", "value")
 
 
 # --- splits and batches -----------------------------------------------------
@@ -624,6 +629,13 @@ def batches(spark, sf):
     return od.with_batch(D.wiki(spark, sf), 512, 3, keep_tail=False).select("id", "batch_id")
 
 
+@query
+def digest_batches(spark, sf):
+    """Documents in batches by the order of a digest, as a shuffled epoch reads them."""
+    rows = D.table(spark, sf, "documents").select("doc_id", T.seeded_key(42, "doc_id").alias("draw"))
+    return od.with_batch(rows, 64, 2, key=["draw", "doc_id"]).select("doc_id", "row_index", "batch_id")
+
+
 @query
 def head_rows(spark, sf):
     return od.head_n(D.wiki(spark, sf), 100).select("id", "question")

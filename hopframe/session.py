@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -24,6 +24,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to the shared folder and read it again, so that later plans do not repeat its work."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_helpers() -> None:
     """Send the small Arrow helpers with each task instead of importing them.
 
@@ -32,8 +39,9 @@ def ship_helpers() -> None:
     from pyspark import cloudpickle
 
     from hopframe.functions import sequence, stemming
+    from hopframe.operators import ranks
 
-    for module in (sequence, stemming):
+    for module in (sequence, stemming, ranks):
         cloudpickle.register_pickle_by_value(module)
 
 

@@ -79,10 +79,78 @@ def test_split_is_an_exact_partition(spark):
 
 def test_row_index_over_sparse_keys(spark):
     df = spark.range(1000).selectExpr("id * id * 977 - 5000 AS pos")
-    got = [r.row_index for r in od.with_row_index(df, width=4096).orderBy("pos").collect()]
+    got = [r.row_index for r in od.with_row_index(df, ranges=9).orderBy("pos").collect()]
     assert got == list(range(1000))
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 37])
+def test_row_index_by_any_key(spark, ranges):
+    df = spark.range(700).selectExpr(
+        "IF(id % 3 = 0, NULL, md5(string(id % 200))) AS a", "IF(id % 5 = 0, double('nan'), id / 7.0) AS b", "id", "timestamp_seconds(id % 50) AS t", "'x' AS row_index")
+    for keys in (["a", "b", "id"], ["t", "id"], ["b", "a", "id"], ["id"]):
+        numbered = od.with_row_index(df, keys, out="at", ranges=ranges, total="all")
+        rows = numbered.orderBy("at").select("id", "at", "all").collect()
+        want = [r.id for r in df.orderBy(*keys).select("id").collect()]
+        assert [r.id for r in rows] == want and [r["at"] for r in rows] == list(range(700)) and {r["all"] for r in rows} == {700}
+    plan = _plan(numbered)
+    assert ranges == 1 or plan.count("hashpartitioning(__range") == plan.count("Exchange ") == 1 and "SinglePartition" not in plan and "Join" not in plan
+
+
+def test_row_index_of_odd_tables(spark):
+    assert od.with_row_index(spark.range(0).withColumnRenamed("id", "pos")).count() == 0
+    same = spark.range(60).selectExpr("1 AS pos")
+    assert sorted(r.row_index for r in od.with_row_index(same, ranges=7).collect()) == list(range(60))
+    nulls = spark.range(5).selectExpr("CAST(NULL AS string) AS pos", "id")
+    assert sorted(r.row_index for r in od.with_row_index(nulls, ranges=3).collect()) == list(range(5))
+
+
+def test_head_of_many_rows_is_a_filter(spark, monkeypatch):
+    monkeypatch.setattr(od, "FEW_ROWS", 10)
+    df = spark.range(500).selectExpr("id", "md5(string(id)) AS k")
+    got = sorted(r.id for r in od.head_n(df, 123, ["k"]).collect())
+    assert got == sorted(r.id for r in df.orderBy("k").limit(123).collect())
+    assert od.head_n(df, 900, "k").count() == 500
+
+
+def _ranked(rows):
+    """The descending order: rows without a metric last, ties by key."""
+    bad = lambda m: m is None or m != m
+    return [r[0] for r in sorted(rows, key=lambda r: (bad(r[1]), 0 if bad(r[1]) else -r[1], r[0]))]
+
+
+@pytest.fixture(scope="module")
+def metric_rows():
+    return [(f"k{i:04d}", None if i % 41 == 0 else float("nan") if i % 43 == 0 else float(i * 7919 % 60) / 4) for i in range(900)]
+
+
+def test_extremes_in_one_pass(spark, metric_rows):
+    df = spark.createDataFrame([(*r, "t") for r in metric_rows], "id string, f1_2 double, text string").repartition(7)
+    got = od.extremes(df, n=6)
+    by = {s: [r.id for r in got.where(F.col("section") == s).orderBy("rank").collect()] for s in ("top", "bottom", "random")}
+    order = _ranked(metric_rows)
+    assert by["top"] == order[:6] and by["bottom"] == order[-6:] and len(set(by["random"])) == 6
+    assert _plan(got).split("== Initial Plan ==")[0].count("Scan") == 1
+    few = od.extremes(df.limit(3), n=6)
+    assert few.where("section = 'bottom'").agg(F.max("rank")).first()[0] == 3 and few.count() == 9
+    assert od.extremes(df.limit(0)).count() == 0
+
+
+def test_places_near_the_ends_and_inside(spark, metric_rows, monkeypatch):
+    from hopframe.operators import ranks
+
+    df = spark.createDataFrame(metric_rows, "id string, f1_2 double").repartition(5)
+    order = _ranked(metric_rows)
+    places = [0, 15, -1, -3, 400, 899, 900, -900, -901]
+    want = {k: order[k] for k in places if -900 <= k < 900}
+    assert {r.place: r.id for r in od.ranked_rows(df, "f1_2", places).collect()} == want
+    monkeypatch.setattr(ranks, "FEW", 5)
+    assert {r.place: r.id for r in od.ranked_rows(df, "f1_2", places).collect()} == want
+    assert od.nth_ranked(df, "f1_2", 450).first().id == order[450]
+    hot = spark.range(3000).selectExpr("string(id) AS id", "IF(id % 3 = 0, 0.5, id / 3000.0) AS f1_2")
+    best = _ranked([(r.id, r.f1_2) for r in hot.collect()])
+    assert {r.place: r.id for r in od.ranked_rows(hot, "f1_2", [1500, 1700, -2999]).collect()} == {1500: best[1500], 1700: best[1700], -2999: best[1]}
+
+
 def test_chunks_and_batches(spark):
     df = spark.range(103).withColumnRenamed("id", "pos")
     dropped = od.with_chunk(df, 10)

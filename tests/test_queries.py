@@ -14,6 +14,7 @@ CHECKED = [
     "direct_examples", "self_ask_examples", "answer_first_examples", "celebrity_examples", "hotpot_examples",
     "strategy_examples", "few_shot_prompts", "few_shot_per_row", "random_fact_order", "verify_answer", "dedup_prompts", "date_category",
     "extract_answers", "macro_results", "token_stats", "run_corr", "conditional_agreement", "context_hist",
+    "rouge_n", "stream_scores", "top_bottom_random", "nth_ranked", "middle_ranked", "digest_batches",
     "train_dev_split", "chunks", "test_build", "perturbed_prompts", "attention_top_words", "packed_inputs",
 ]
 

@@ -160,3 +160,49 @@ def test_stream_equals_batch(spark, tmp_path):
     cols = ["run_id", "id", "correct", *ev.METRICS]
     assert got.count() == 40 and got.select(*cols).exceptAll(batch.select(*cols)).count() == 0
     assert st.streamed_macro(spark, str(tmp_path / "out")).first().accuracy == pytest.approx(0.5)
+
+
+def _arrive(spark, path, rows, n):
+    spark.createDataFrame(rows, "run_id string, id string, response string, arrived string").withColumn(
+        "arrived", F.to_timestamp("arrived")).coalesce(1).write.parquet(f"{path}/f{n}")
+
+
+def _run(spark, tmp_path, **options):
+    truth = spark.createDataFrame([(r, str(i), f"a{i}", f"The answer is a{i}.") for r in ("x", "y") for i in range(6)], "run_id string, id string, answer string, target string")
+    stream = st.response_stream(spark, f"{tmp_path}/in/*", 1)
+    st.stream_scores(stream, truth, f"{tmp_path}/out", f"{tmp_path}/state", use_stemmer=False, **options).awaitTermination()
+    found = st.stored_scores(spark, f"{tmp_path}/out").select("run_id", "id", "correct").collect()
+    assert len({(r.run_id, r.id) for r in found}) == len(found)
+    return {(r.run_id, r.id): r.correct for r in found}
+
+
+def test_late_and_repeated_rows_are_scored_once(spark, tmp_path):
+    right = lambda i: f"The answer is a{i}."
+    _arrive(spark, f"{tmp_path}/in", [("x", "0", right(0), "2024-05-01 10:00:00"), ("x", "1", "no", "2024-05-01 10:00:01"), ("x", "1", right(1), "2024-05-01 10:00:02")], 0)
+    assert _run(spark, tmp_path) == {("x", "0"): True, ("x", "1"): False}  # the earlier copy counts
+    _arrive(spark, f"{tmp_path}/in", [("x", "0", "no", "2024-05-09 10:00:00"), ("y", "0", right(0), "2024-05-09 10:00:00")], 1)
+    # years late, and a copy of what was scored two runs ago
+    _arrive(spark, f"{tmp_path}/in", [("x", "2", right(2), "2019-01-01 00:00:00"), ("x", "1", right(1), "2019-01-01 00:00:00"), ("x", "77", "?", "2024-05-09 10:00:00")], 2)
+    assert _run(spark, tmp_path) == {("x", "0"): True, ("x", "1"): False, ("y", "0"): True, ("x", "2"): True}
+    assert [r.id for r in st.stored_rejects(spark, f"{tmp_path}/out").collect()] == ["77"]
+
+
+def test_repeated_batch_and_snapshots_change_nothing(spark, tmp_path):
+    import os
+
+    rows = [("xy"[i % 2], str(i % 6), f"The answer is a{i % 4}.", f"2024-01-{1 + i:02d} 00:00:00") for i in range(18)]
+    for n in range(9):
+        _arrive(spark, f"{tmp_path}/in", rows[2 * n : 2 * n + 2], n)
+    want = {}
+    for run, i, response, _ in rows:
+        want.setdefault((run, i), f"a{i}" in response)
+    assert _run(spark, tmp_path, buckets=3, snapshot=2) == want
+    folders = os.listdir(f"{tmp_path}/out/keys")
+    assert "upto=7" in folders and "upto=1" not in folders and "batch=0" not in folders and "batch=8" in folders
+    # a crash after the scores of the last batch were written, before it was committed
+    for name in ("commits/8", "commits/.8.crc"):
+        os.remove(f"{tmp_path}/state/{name}")
+    assert _run(spark, tmp_path, buckets=3, snapshot=2) == want
+    store = st.KeyStore(spark, f"{tmp_path}/out/keys", 3, 2)
+    assert store.before(99).distinct().count() == store.before(99).count() == len(want)
+    assert store.before(8).count() <= store.before(9).count() and "Scan parquet" in store.before(9)._jdf.queryExecution().toString()
