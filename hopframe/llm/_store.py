@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,37 @@ SMALL_ROWS = 100_000
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table below ``spark.checkpoint.dir`` and read it again: lineage ends there and lost executors cost nothing."""
     path = shared_dir(df.sparkSession, purpose)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside go when the block ends; yields a function that stores a table to stay."""
+    _scopes.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame, purpose: str) -> DataFrame:
+        out = stored(df, purpose)
+        kept.append(_scopes[-1].pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        paths = _scopes.pop()
+        if _scopes:
+            _scopes[-1].extend(kept)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

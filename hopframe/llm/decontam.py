@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopframe.llm._store import stored
+from hopframe.llm._store import scratch, stored
 from hopframe.llm._text import Tokens, lower_table, pack_sorted, plain_words, row_chunks, text_buffers, unpack_sorted
 
 WINDOW = 10
@@ -219,7 +219,8 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", width:
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents without an exact window of any item; each row is judged by its own text, whatever rows share its id."""
     marked = docs.withColumn("__key", F.md5(F.coalesce(text, F.lit("")).cast("binary")))
-    judged = contamination(marked.select("__key", F.col(text).alias("text")), items, "__key")
-    bad = stored(judged.where("n_hit > 0").select("__key").distinct(), "contaminated")
+    with scratch(docs.sparkSession) as keep:
+        judged = contamination(marked.select("__key", F.col(text).alias("text")), items, "__key")
+        bad = keep(judged.where("n_hit > 0").select("__key").distinct(), "contaminated")
     small = bad.limit(1_000_001).count() <= 1_000_000
     return marked.join(F.broadcast(bad) if small else bad, "__key", "left_anti").select(*docs.columns)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopframe.llm._store import join_small, source_key, stored
+from hopframe.llm._store import join_small, scratch, source_key, stored
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -139,7 +139,8 @@ def mix_table(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def mix(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The mixed corpus: each document as often as it is taken, decided in its own row."""
-    _, state = plan_mix(docs, key)
+    with scratch(docs.sparkSession) as keep:
+        state = keep(plan_mix(docs, key)[1], "mix-thresholds")
     marked = docs.withColumns({"__mix_key": source_key("source"), "__mix_hash": draw_hash(key)})
     found = state.select(F.col("key").alias("__mix_key"), F.col("copies").alias("__mix_copies"), F.col("low").alias("__mix_low"))
     times = F.col("__mix_copies") + (F.col("__mix_hash") < F.col("__mix_low")).cast("int")

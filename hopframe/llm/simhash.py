@@ -159,9 +159,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", grouped=n
 
     Rows are told apart by id and text, so rows that share an id, or have none,
     stand for themselves.  ``grouped`` takes (documents, key, text) and names
-    the ``component_id`` of each key; here the digest of the text is the key.
+    the ``component_id`` of each key; here a 64-bit digest of the text is the key.
     """
-    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.xxhash64(F.coalesce(text, F.lit("")))
     found = grouped(docs.select(digest.alias("__text"), text), "__text", text).groupBy("__text").agg(F.min("component_id").alias("__component"))
     own = F.when(F.col(key).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(key).cast("string")))
     # Rows of the same id and text become one before any join, however many there are.
