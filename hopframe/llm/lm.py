@@ -4,16 +4,18 @@ The model is P(w | h) = a(h) c(h, w) / c(h) + b(h) c(w) / N + (1 - a - b) / (V +
 with maximum-likelihood estimates of word pairs and words, a uniform rest that
 also covers unknown words, and mixture weights per bucket of the context's
 frequency (powers of two).  The weights are learned by expectation-
-maximisation on held-out counts: a fifth of the blocks is deleted from the
-counts, and its training texts show how well the counts of the others predict.
-The final counts hold all training texts.
+maximisation on held-out counts: a fifth of the documents, by a hash of their
+id, is deleted from the counts, and its training texts show how well the counts
+of the others predict.  The final counts hold all training texts.
 
-Texts are dealt to blocks of a few megabytes.  A block asks for each of its
+Texts are dealt to blocks of a few megabytes, deleted ones to blocks of their
+own, so the weights depend on neither the size nor the number of blocks.  A block asks for each of its
 distinct words and pairs once: sorted 64-bit hashes and its own counts, packed
 per hash range.  A range sums what the blocks send and answers each in the
 order it asked.  So per distinct pair and block about six bytes move, and a
 frequent word is one entry per block whatever its share.  Blocks and ranges
-grow in number with the input, not in size.
+grow in number with the input, not in size; rows that are equal in id and text
+share a block.  Words and pairs are compared by 64-bit hashes.
 
 Nulls: a null or empty text is one end token.  A null id hashes like an empty
 text.  Repeated rows count each.  Without training texts all counts are zero
@@ -26,7 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopframe.llm._store import stored
@@ -34,7 +36,7 @@ from hopframe.llm._text import Tokens, chain, lower_table, pack, pack_sorted, ro
 
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 12 << 20
-DELETED = 5  # one block in so many is deleted while weights are learned
+DELETED = 5  # one document in so many is deleted while weights are learned
 END, BEGIN = np.uint64(1), np.uint64(2)
 BINS = 8  # steps of a natural logarithm in the held-out histogram
 ROUNDS = 60
@@ -91,7 +93,7 @@ def _answer(part: pa.Table) -> pa.Table:
     hashes = [unpack_sorted(part.column("hashes")[int(i)].as_py()) for i in order]
     counts = [unpack(part.column("counts")[int(i)].as_py()) for i in order]
     flat, added = np.concatenate(hashes), np.concatenate(counts)
-    kept = np.concatenate([c if blocks[i] % DELETED else c * np.uint64(0) for i, c in zip(order, counts, strict=True)])
+    kept = np.concatenate([c * np.uint64(0) if blocks[i] & 1 else c for i, c in zip(order, counts, strict=True)])
     rank = np.argsort(flat, kind="stable")  # the lowest block of each hash comes first
     ranked = flat[rank]
     heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
@@ -108,7 +110,7 @@ def _answer(part: pa.Table) -> pa.Table:
     for i, h in zip(order, hashes, strict=True):
         cut = slice(at, at + len(h))
         at += len(h)
-        deleted = blocks[i] % DELETED == 0
+        deleted = bool(blocks[i] & 1)
         values = (int(blocks[i]), kind, place, pack(total[cut]), pack(others[cut]) if deleted else None, int((owned[cut] * (total[cut] > 0)).sum()))
         for name, x in zip(rows, values, strict=True):
             rows[name].append(x)
@@ -129,7 +131,7 @@ def _count_tokens(part: pa.Table, answers: pa.Table, id_kind: pa.DataType) -> pa
     word_at = np.unique(tokens, return_inverse=True)[1] if len(tokens) else np.zeros(0, dtype=np.int64)
     pair_at = np.unique(pairs, return_inverse=True)[1] if len(pairs) else np.zeros(0, dtype=np.int64)
     words, bigrams = _joined(answers, 1, "total")[word_at], _joined(answers, 2, "total")[pair_at]
-    deleted = n > 0 and part.column("block")[0].as_py() % DELETED == 0
+    deleted = n > 0 and bool(part.column("block")[0].as_py() & 1)
     if deleted:
         words_kept, bigrams_kept = _joined(answers, 1, "kept")[word_at], _joined(answers, 2, "kept")[pair_at]
     training = part.column("training").to_pylist()
@@ -151,6 +153,11 @@ def _count_tokens(part: pa.Table, answers: pa.Table, id_kind: pa.DataType) -> pa
     })
 
 
+def deleted(key: str) -> Column:
+    """Whether a document is deleted while weights are learned."""
+    return F.pmod(F.xxhash64(F.lit("deleted"), F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(DELETED)) == 0
+
+
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", training: str = "training", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The stored table of ``_count_tokens``: lineage ends there."""
     id_type = docs.schema[key].dataType
@@ -158,8 +165,11 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", train
     n_bytes = docs.select(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1)).first()[0] or 0
     n_blocks, n_ranges = max(1, math.ceil(n_bytes / block_bytes)), max(1, math.ceil(n_bytes / RANGE_BYTES))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / (64 << 20)))
+    apart = math.ceil(n_blocks / DELETED)
+    draw = F.xxhash64(key, text)
+    block = F.when(deleted(key), 2 * F.pmod(draw, F.lit(apart)) + 1).otherwise(2 * F.pmod(draw, F.lit(max(1, n_blocks - apart))))
     dealt = docs.select(
-        F.col(key).alias("id"), F.col(text).alias("text"), F.col(training).alias("training"), F.pmod(F.xxhash64(key, text), F.lit(n_blocks)).alias("block")
+        F.col(key).alias("id"), F.col(text).alias("text"), F.col(training).alias("training"), block.alias("block")
     ).repartition(parts, "block")
     asked = dealt.groupBy("block").applyInArrow(lambda part: _ask(part, n_ranges), "block long, kind int, range int, hashes binary, counts binary")
     answers = asked.groupBy("kind", "range").applyInArrow(_answer, "block long, kind int, range int, total binary, kept binary, owned long")
