@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopframe.functions.text import safe_corr
 from hopframe.operators.evaluate import METRICS
+from hopframe.session import ship_helpers
 
 SIZE_COLUMNS = ("num_prompt_tokens", "num_target_tokens", "num_tokens")
 
@@ -76,18 +79,38 @@ def run_corr(wide: DataFrame, runs: list[str]) -> DataFrame:
 
 
 def conditional_agreement(wide: DataFrame, runs: list[str]) -> DataFrame:
-    """How run b fares given that run a is right or wrong: counts and shares."""
-    pairs = F.array(*[
-        F.struct(
-            F.lit(a).alias("run_a"), F.lit(b).alias("run_b"),
-            F.col(f"`{a}`").alias("a_correct"), F.col(f"`{b}`").alias("b_correct"),
+    """How run b fares given that run a is right or wrong: counts and shares.
+
+    Each question is a set of the runs that are right and one of those that are
+    wrong; a task adds up all pairs of its questions as one product of matrices
+    and passes on a count per pair of runs and outcomes.  So what is shuffled
+    depends on the number of runs and tasks, and not on the number of questions.
+    A question counts for the pairs of runs that both answered it.
+    """
+    size = len(runs)
+
+    def run(batches):
+        total = np.zeros((2 * size, 2 * size), dtype=np.int64)
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            # right in the first half, wrong in the second; neither where the run has no answer
+            marks = np.stack([c == v for v in (True, False) for c in columns], axis=1).astype(np.float32)
+            total += (marks.T @ marks).astype(np.int64)  # exact: a batch has far fewer rows than 2**24
+        a, b = np.nonzero(total)
+        use = a % size != b % size
+        a, b = a[use], b[use]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a % size, pa.int32()), pa.array(b % size, pa.int32()), pa.array(a < size), pa.array(b < size), pa.array(total[a, b])],
+            ["a", "b", "a_correct", "b_correct", "n"],
         )
-        for a, b in _run_pairs(runs, False)
-    ])
-    counts = (
-        wide.select(F.inline(pairs))
-        .groupBy("run_a", "run_b", "a_correct", "b_correct")
-        .agg(F.count(F.lit(1)).alias("questions"))
+
+    ship_helpers()
+    cells = wide.select(*[F.col(f"`{r}`").cast("boolean").alias(f"r{i}") for i, r in enumerate(runs)]).mapInArrow(
+        run, "a int, b int, a_correct boolean, b_correct boolean, n long"
+    )
+    name = lambda i: F.get(F.array(*map(F.lit, runs)), F.col(i))
+    counts = cells.groupBy("a", "b", "a_correct", "b_correct").agg(F.sum("n").alias("questions")).select(
+        name("a").alias("run_a"), name("b").alias("run_b"), "a_correct", "b_correct", "questions"
     )
     given = Window.partitionBy("run_a", "run_b", "a_correct")
     return counts.withColumn("share", F.col("questions") / F.sum("questions").over(given))

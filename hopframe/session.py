@@ -39,9 +39,9 @@ def ship_helpers() -> None:
     from pyspark import cloudpickle
 
     from hopframe.functions import sequence, stemming
-    from hopframe.operators import ranks
+    from hopframe.operators import analysis, ranks
 
-    for module in (sequence, stemming, ranks):
+    for module in (sequence, stemming, ranks, analysis):
         cloudpickle.register_pickle_by_value(module)
 
 

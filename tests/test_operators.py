@@ -1,8 +1,11 @@
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from hopframe.functions.sequence import lcs_length
+from hopframe.operators import analysis as an
 from hopframe.operators import evaluate as ev
 from hopframe.operators import exemplars as exm
 from hopframe.operators import facts as fa
@@ -324,3 +327,23 @@ def test_a_key_hot_on_the_right_is_split(spark, monkeypatch):
     right = spark.createDataFrame([(f"abcdef ghi{c}",) for c in "abcdefghijklmno"] + [("zzzz yyyx",)], "t string")
     got = {(r["text_a"], r["text_b"]) for r in overlap.fuzzy_pairs(left, right, "t").collect()}
     assert got == {("abcdef ghij", f"abcdef ghi{c}") for c in "abcdefghijklmno"} | {("zzzz yyyy", "zzzz yyyx")}
+
+
+def test_agreement_of_run_pairs_equals_brute_force(spark):
+    runs = ["a b", "r/1", "r.2", "d"]
+    rng = random.Random(3)
+    rows = [tuple(rng.choice([True, False, False, None]) for _ in runs) for _ in range(300)]
+    wide = spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], "id string, " + ", ".join(f"`{r}` boolean" for r in runs)).repartition(5)
+    want = {}
+    for r in rows:
+        for i, a in enumerate(runs):
+            for j, b in enumerate(runs):
+                if i != j and r[i] is not None and r[j] is not None:
+                    want[a, b, r[i], r[j]] = want.get((a, b, r[i], r[j]), 0) + 1
+    found = an.conditional_agreement(wide, runs)
+    got = {(r.run_a, r.run_b, r.a_correct, r.b_correct): (r.questions, r.share) for r in found.collect()}
+    assert {k: v[0] for k, v in got.items()} == want
+    for (a, b, x, y), (n, share) in got.items():
+        assert share == pytest.approx(n / sum(want.get((a, b, x, z), 0) for z in (True, False)))
+    assert an.conditional_agreement(wide.limit(0), runs).count() == 0
+    assert "Generate" not in _plan(found)
