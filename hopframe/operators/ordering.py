@@ -146,15 +146,18 @@ def _orders(df: DataFrame, metric: str, key: str) -> tuple[list, list]:
     return [(none, True), (m, False), (k, True)], [(none, False), (m, True), (k, False)]
 
 
-def extremes(df: DataFrame, metric: str = "f1_2", n: int = 5, seed: int = 0, key: str = "id") -> DataFrame:
+def extremes(
+    df: DataFrame, metric: str = "f1_2", n: int = 5, seed: int = 0, key: str = "id", by: Sequence[str] = ()
+) -> DataFrame:
     """Top n, bottom n and n random rows stacked, with section and rank, in one pass over ``df``.
 
-    The bottom is ranked as the tail of the descending order.
+    The bottom is ranked as the tail of the descending order.  With ``by`` every
+    combination of those few-valued columns has its own rows.
     """
     down, up = _orders(df, metric, key)
     chance = [(seeded_key(seed, key), True), (F.col(key), True)]
-    rows = ranks.best_rows(df, {"top": (n, down), "bottom": (n, up), "random": (n, chance)})
-    size = F.count(F.lit(1)).over(Window.partitionBy("section"))
+    rows = ranks.best_rows(df, {"top": (n, down), "bottom": (n, up), "random": (n, chance)}, by)
+    size = F.count(F.lit(1)).over(Window.partitionBy("section", *by))
     tail = F.when(F.col("section") == "bottom", size - F.col("rank") + 1).otherwise(F.col("rank"))
     return rows.withColumn("rank", tail.cast("int"))
 

@@ -36,11 +36,12 @@ def missing(df: DataFrame, column: str) -> Column:
     return empty.cast("int")
 
 
-def best_rows(df: DataFrame, orders: Mapping[str, tuple[int, Sequence[tuple[Column, bool]]]]) -> DataFrame:
+def best_rows(df: DataFrame, orders: Mapping[str, tuple[int, Sequence[tuple[Column, bool]]]], by: Sequence[str] = ()) -> DataFrame:
     """The first n rows of several orders in one pass, with ``section`` (the order's name) and a 1-based ``rank``.
 
     An order is its n and its terms, each with whether it ascends; nulls come
-    last in every term.  A task holds n rows per order.
+    last in every term.  With ``by``, columns of few values such as runs, each
+    combination has its own.  A task holds n rows per order and combination.
     """
     ship_helpers()
     terms = {f"__{name}_{i}": column for name, (_, order) in orders.items() for i, (column, _) in enumerate(order)}
@@ -54,14 +55,23 @@ def best_rows(df: DataFrame, orders: Mapping[str, tuple[int, Sequence[tuple[Colu
     def pick(table, n, keys):
         return table.take(pc.select_k_unstable(table.select([k for k, _ in keys]), options=pc.SelectKOptions(n, keys))) if table.num_rows else table
 
+    def groups(table):
+        if not by:
+            return [((), table)]
+        keys = list(zip(*[table.column(c).to_pylist() for c in by], strict=True))
+        places: dict = {}
+        for i, key in enumerate(keys):
+            places.setdefault(key, []).append(i)
+        return [(key, table.take(pa.array(at))) for key, at in places.items()]
+
     def run(batches):
         held: dict = {}
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for name, n, keys in plan:
-                few = pick(table, n, keys)
-                held[name] = pick(pa.concat_tables([held[name], few]), n, keys) if name in held else few
-        for name, table in held.items():
+            for group, table in groups(pa.Table.from_batches([batch])):
+                for name, n, keys in plan:
+                    few, at = pick(table, n, keys), (name, group)
+                    held[at] = pick(pa.concat_tables([held[at], few]), n, keys) if at in held else few
+        for (name, _), table in held.items():
             yield from table.append_column("section", pa.array([name] * table.num_rows, pa.string())).to_batches()
 
     order, limit = [], F.lit(None).cast("int")
@@ -71,7 +81,7 @@ def best_rows(df: DataFrame, orders: Mapping[str, tuple[int, Sequence[tuple[Colu
         for key, way in keys:
             term = F.when(own, F.col(key))
             order.append(term.asc_nulls_last() if way == "ascending" else term.desc_nulls_last())
-    rank = F.row_number().over(Window.partitionBy("section").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("section", *by).orderBy(*order))
     return keyed.mapInArrow(run, schema).withColumn("rank", rank).where(F.col("rank") <= limit).drop(*terms)
 
 

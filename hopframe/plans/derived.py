@@ -300,3 +300,13 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         "conv_id", "turn", "prompt", "target",
     )
+
+
+def all_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn as a prompt, with the assistant's direct reply as target, else an empty text."""
+    c = table(spark, sf_dir, "conversations")
+    reply = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    return c.join(reply, ["conv_id", "turn"], "left").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("prompt"), F.coalesce("reply", F.lit("")).alias("target"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hopframe import schemas
 from hopframe.plans.derived import run_names, run_rows
 
 NL = "chr(10)"
@@ -282,6 +283,14 @@ att AS (
 )"""
 
 
+def _turns() -> str:
+    """Every turn, with the assistant's direct reply if there is one."""
+    return """turns AS (
+  SELECT u.conv_id || '-' || u.turn AS id, coalesce(u.text, '') AS prompt, coalesce(a.text, '') AS target
+  FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+)"""
+
+
 def _pairs() -> str:
     return """
 turns AS (
@@ -447,7 +456,7 @@ mixed AS (
     )
     q["thoughts"] = f"WITH {QA} SELECT id, " + _join(
         f"list_transform(range(1, len(obj) + 1), lambda i: {_THOUGHT})", "'; '") + " AS thoughts FROM qa"
-    q["token_counts"] = f"WITH {_pairs()} SELECT id, {_counts('prompt', 'target')} FROM turns"
+    q["token_counts"] = f"WITH {_turns()} SELECT id, {_counts('prompt', 'target')} FROM turns"
     q["qa_pairs"] = (
         f"WITH {EX} SELECT id, direct_prompt AS prompt, answer AS target, answer, direct_prompt || answer AS input FROM ex"
     )
@@ -664,14 +673,25 @@ mixed AS (
         "WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS row_index FROM documents) "
         "SELECT doc_id, row_index, (row_index // 64)::BIGINT AS batch_id FROM o WHERE row_index >= 128"
     )
+    # The subsequence of the few reported rows grows word by word of the response: a row of the comparison table per step.
+    score_text = " || ', ' || ".join(f"'{label}: ' || round({c}, 5)::VARCHAR" for c, label in schemas.METRICS.items())
     q["sample_report"] = (
-        f"WITH {SCORED}, r AS (SELECT s.id, s.pos, round(f1_2, 9) AS f, self_ask_prompt, self_ask_target FROM scored s JOIN ex USING (id) WHERE run_no = 7), "
-        "t AS (SELECT 0 AS section_no, 'top' AS section, row_number() OVER (ORDER BY f DESC, id) AS rank, * FROM r), "
-        "b AS (SELECT 1 AS section_no, 'bottom' AS section, 6 - row_number() OVER (ORDER BY f, id DESC) AS rank, * FROM r), "
-        "c AS (SELECT 2 AS section_no, 'random' AS section, row_number() OVER (ORDER BY md5('0:' || id), id) AS rank, * FROM r) "
-        f"SELECT section_no, section, rank::INT AS rank, '### Example ' || (pos + 1) || {NL} || 'Prompt:' || {NL} || '```' || {NL} || self_ask_prompt || '```' || {NL} "
-        f"|| 'Target:' || {NL} || '```' || {NL} || self_ask_target || '```' || {NL} || 'Response:' AS text "
-        "FROM (SELECT * FROM t WHERE rank <= 5 UNION ALL SELECT * FROM b WHERE rank >= 1 UNION ALL SELECT * FROM c WHERE rank <= 5)"
+        f"WITH RECURSIVE {SCORED}, r AS (SELECT s.*, round(s.f1_2, 9) AS f, self_ask_prompt FROM scored s JOIN ex USING (id)), "
+        "t AS (SELECT 0 AS section_no, 'top' AS section, row_number() OVER (PARTITION BY run_id ORDER BY f DESC, id) AS rank, * FROM r), "
+        "b AS (SELECT 1 AS section_no, 'bottom' AS section, 6 - row_number() OVER (PARTITION BY run_id ORDER BY f, id DESC) AS rank, * FROM r), "
+        "c AS (SELECT 2 AS section_no, 'random' AS section, row_number() OVER (PARTITION BY run_id ORDER BY md5('0:' || id), id) AS rank, * FROM r), "
+        "chosen AS MATERIALIZED (SELECT * FROM t WHERE rank <= 5 UNION ALL SELECT * FROM b WHERE rank >= 1 UNION ALL SELECT * FROM c WHERE rank <= 5), "
+        f"sides_of AS MATERIALIZED (SELECT run_id, id, {_grams('tw', 'target')}, {_grams('rw', 'response')} FROM chosen WHERE section = 'random'), "
+        "steps_of AS (SELECT run_id, id, 0 AS step, tw, rw, list_transform(range(len(tw) + 1), lambda j: 0) AS best FROM sides_of UNION ALL "
+        "SELECT run_id, id, step + 1, tw, rw, list_transform(range(len(tw) + 1), lambda j: "
+        "list_max(list_transform(range(j + 1), lambda k: CASE WHEN k = 0 THEN 0 WHEN tw[k] = rw[step + 1] THEN greatest(best[k + 1], best[k] + 1) ELSE best[k + 1] END))) "
+        "FROM steps_of WHERE step < len(rw)), "
+        "lcs_of AS (SELECT run_id, id, CASE WHEN len(tw) = 0 THEN 0.0 ELSE best[len(tw) + 1]::DOUBLE / len(tw) END AS rouge_l FROM steps_of WHERE step = len(rw)), "
+        "z AS (SELECT chosen.*, rouge_l FROM chosen LEFT JOIN lcs_of USING (run_id, id)) "
+        f"SELECT run_id, section_no, section, rank::INT AS rank, CASE WHEN section = 'top' AND rank = 1 THEN '# sample' || {NL} ELSE '' END "
+        f"|| CASE WHEN rank = 1 THEN '## ' || CASE section WHEN 'top' THEN 'Top' WHEN 'bottom' THEN 'Bottom' ELSE 'Random' END || ' Five Examples' || {NL} ELSE '' END "
+        f"|| '### Example ' || (pos + 1) || {NL} || 'Prompt:' || {NL} || '```' || {NL} || self_ask_prompt || '```' || {NL} || 'Target:' || {NL} || '```' || {NL} || target "
+        f"|| '```' || {NL} || 'Response:' || {NL} || '```' || {NL} || response || {NL} || '```' || {NL} || CASE WHEN section = 'random' THEN {score_text} ELSE '' END AS text FROM z"
     )
 
     # splits and batches
@@ -699,12 +719,12 @@ mixed AS (
         )
 
     q["packed_inputs"] = (
-        f"WITH {_pairs()}, l AS (SELECT id, {ids('prompt')}[1:64] AS p, {ids('target')}[1:64] AS t FROM turns), "
-        "f AS (SELECT id, p, list_concat(p, list_transform(range(64 - len(p)), lambda x: 0)) AS pp, "
-        "list_concat(t, list_transform(range(64 - len(t)), lambda x: 0)) AS tt FROM l) "
+        f"WITH {_turns()}, l AS (SELECT id, {ids('prompt')}[1:512] AS p, {ids('target')}[1:512] AS t FROM turns), "
+        "f AS (SELECT id, p, list_concat(p, list_transform(range(512 - len(p)), lambda x: 0)) AS pp, "
+        "list_concat(t, list_transform(range(512 - len(t)), lambda x: 0)) AS tt FROM l) "
         "SELECT id, array_to_string(pp, ' ') AS input_ids, "
-        "array_to_string(list_transform(range(64), lambda x: CASE WHEN x < len(p) THEN 1 ELSE 0 END), ' ') AS attention_mask, "
-        "array_to_string(tt, ' ') AS labels, array_to_string(list_concat([0], tt[1:63]), ' ') AS decoder_input_ids FROM f"
+        "array_to_string(list_transform(range(512), lambda x: CASE WHEN x < len(p) THEN 1 ELSE 0 END), ' ') AS attention_mask, "
+        "array_to_string(tt, ' ') AS labels, array_to_string(list_concat([0], tt[1:511]), ' ') AS decoder_input_ids FROM f"
     )
 
     # overlap

@@ -212,7 +212,7 @@ def thoughts(spark, sf):
 
 @query
 def token_counts(spark, sf):
-    pairs = with_token_counts(D.turn_pairs(spark, sf))
+    pairs = with_token_counts(D.all_turns(spark, sf))
     return pairs.select("id", *an.SIZE_COLUMNS)
 
 
@@ -579,12 +579,11 @@ def top_bottom_random(spark, sf):
 
 @query
 def sample_report(spark, sf):
-    ex = _wiki_examples(spark, sf, "self_ask", keep=("pos",)).select("id", "pos", "prompt", "target")
-    run = D.responses(spark, sf).where(F.col("run_no") == 7).select("id", "response")
-    rows = ev.rouge(ex.join(run, "id"), use_stemmer=False, with_lcs=False).withColumns(
-        {"f1_2": F.round("f1_2", 9), "rouge_l": F.lit(0.0)})
-    report = sinks.sample_report(rows, "sample")
-    return report.select("section_no", "section", "rank", F.regexp_extract("text", r"(?s)(### Example .*?Response:)", 1).alias("text"))
+    """One report per run over all its responses, with every score and the whole texts."""
+    ex = _wiki_examples(spark, sf, "self_ask", keep=("pos",)).select("id", "pos", "prompt")
+    answers = D.responses(spark, sf).select("run_id", "id", "target", "response")
+    rows = ev.rouge(answers.join(ex, "id"), use_stemmer=False).withColumn("f1_2", F.round("f1_2", 9))
+    return sinks.sample_report(rows, "sample", by=("run_id",))
 
 
 @query
@@ -643,7 +642,7 @@ def head_rows(spark, sf):
 
 @query
 def packed_inputs(spark, sf):
-    packed = pk.pack(D.turn_pairs(spark, sf), 64)
+    packed = pk.pack(D.all_turns(spark, sf))
     return packed.select("id", *[
         F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
         for c in ("input_ids", "attention_mask", "labels", "decoder_input_ids")

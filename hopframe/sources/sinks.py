@@ -92,14 +92,16 @@ def write_csv(df: DataFrame, path: str, cols: list[str] | None = None) -> None:
     (df.select(*cols) if cols else df).write.mode("errorifexists").option("header", True).csv(path)
 
 
-def sample_report(df: DataFrame, title: str, metric: str = "f1_2", n: int = 5, seed: int = 0) -> DataFrame:
-    """Markdown lines of the top, bottom and random examples, in order.
+def sample_report(
+    df: DataFrame, title: str, metric: str = "f1_2", n: int = 5, seed: int = 0, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Markdown lines of the top, bottom and random examples, in order, one report for each combination of ``by``.
 
     ``df`` has id, pos, prompt, target, response and the metrics.
     """
     headings = {"top": "Top", "bottom": "Bottom", "random": "Random"}
     words = {5: "Five"}
-    rows = extremes(df, metric, n, seed)
+    rows = extremes(df, metric, n, seed, by=by)
     order = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(headings) for x in (s, i)]), F.col("section"))
     head = F.concat(
         F.element_at(F.create_map(*[F.lit(x) for p in headings.items() for x in p]), F.col("section")),
@@ -119,7 +121,7 @@ def sample_report(df: DataFrame, title: str, metric: str = "f1_2", n: int = 5, s
         F.when(F.col("rank") == 1, F.concat(F.lit("## "), head)).otherwise(F.lit("")),
         body,
     )
-    return rows.withColumn("section_no", order).select("section_no", "section", "rank", text.alias("text"))
+    return rows.withColumn("section_no", order).select(*by, "section_no", "section", "rank", text.alias("text"))
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -133,6 +133,11 @@ def test_extremes_in_one_pass(spark, metric_rows):
     order = _ranked(metric_rows)
     assert by["top"] == order[:6] and by["bottom"] == order[-6:] and len(set(by["random"])) == 6
     assert _plan(got).split("== Initial Plan ==")[0].count("Scan") == 1
+    parted = od.extremes(df.withColumn("run", F.length("id") + F.ascii(F.substring("id", 5, 1)) % 3), n=4, by=["run"])
+    for run in range(5, 8):
+        mine = _ranked([r for r in metric_rows if 5 + ord(r[0][4]) % 3 == run])
+        of = {s: [r.id for r in parted.where((F.col("section") == s) & (F.col("run") == run)).orderBy("rank").collect()] for s in ("top", "bottom")}
+        assert of == {"top": mine[:4], "bottom": mine[-4:]}
     few = od.extremes(df.limit(3), n=6)
     assert few.where("section = 'bottom'").agg(F.max("rank")).first()[0] == 3 and few.count() == 9
     assert od.extremes(df.limit(0)).count() == 0
