@@ -175,4 +175,20 @@ def evaluate(examples: DataFrame, responses: DataFrame, use_stemmer: bool = True
     return score(responses.select("run_id", "id", "response").join(truth, keys), use_stemmer, fallback)
 
 
+def evaluate_on(
+    examples: DataFrame, responses: DataFrame, use_stemmer: bool = True, fallback: str = "none", with_rouge: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Scores of responses ``(run_id, test_set, id, response)`` against the examples of the set they answer, and rejects.
+
+    ``examples`` (test_set, id, answer, target) hold each set's own answers and
+    targets, so one question may have several.  A response whose set lacks its
+    question is no score and no silent loss: it is returned as a reject.
+    """
+    truth = examples.select("test_set", "id", "answer", "target", F.lit(True).alias("__known"))
+    met = responses.select("run_id", "test_set", "id", "response").join(truth, ["test_set", "id"], "left")
+    known = met.where("__known").drop("__known")
+    scored = score(known, use_stemmer, fallback) if with_rouge else judge(known, fallback)
+    return scored, met.where("__known IS NULL").select("run_id", "test_set", "id", "response")
+
+
 RESPONSE_SCHEMA = schemas.RESPONSE

@@ -270,6 +270,23 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def set_examples(spark: SparkSession, sf_dir: str, sets: DataFrame) -> DataFrame:
+    """The examples of test sets (test_set, set_strategy): each question with the target of the set's prompts."""
+    held = sets.select("test_set", "set_strategy").distinct().agg(F.collect_list(F.struct("test_set", "set_strategy")).alias("sets")).select("sets").scalar()
+    target = "CASE s.set_strategy " + " ".join(f"WHEN '{s}' THEN {s}_target" for s in STRATEGIES) + " END AS target"
+    return truths(spark, sf_dir).withColumn("s", F.explode(held)).selectExpr("s.test_set AS test_set", "id", "n", "answer", target)
+
+
+def set_responses(examples: DataFrame, crossed: DataFrame) -> DataFrame:
+    """Made-up answers of every run on each of its test sets, fewer right ones on foreign sets."""
+    asked = examples.join(crossed.select("run_id", "run_no", "own_set", "test_set"), "test_set")
+    return asked.withColumn("line", F.expr(r"trim(replace(target, '\n', ' '))")).selectExpr(
+        "run_id", "test_set", "id",
+        """CASE WHEN own_set AND (n * 7 + run_no * 3) % 10 <= run_no THEN line WHEN NOT own_set AND (n * 3 + run_no * 7 + 4) % 10 < run_no THEN line
+             WHEN n % 5 = 1 THEN answer WHEN n % 5 = 2 THEN replace(line, answer, 'unknown') ELSE '' END AS response""",
+    )
+
+
 def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long attention table from the embeddings: one row per vector position."""
     return table(spark, sf_dir, "embeddings").select(

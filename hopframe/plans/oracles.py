@@ -758,12 +758,19 @@ mixed AS (
         f"model || '-' || strategy || '-answer_first=' || {title('answer_first')} || '-random_facts=' || {title('random_facts')} || {shots('examplars')} AS run_id, "
         "type, questions FROM (VALUES ('t5-small'), ('flan-t5-small'), ('opt-125m')) m(model), flags, (VALUES (true), (false)) e(examplars), t"
     )
+    set_of = (
+        "CASE WHEN strategy = 'direct' AND {0} THEN 'self_ask' ELSE strategy END || '-answer_first=False-random_facts=False' || "
+    )
     q["cross_evaluation"] = (
-        f"WITH {RESP}, m AS (SELECT run_id, round(avg(correct::INT), 4) AS accuracy FROM judged GROUP BY run_id), "
-        "e AS (SELECT DISTINCT strategy, examplars AS eval_examplars FROM runs) "
-        "SELECT run_id, eval_examplars, CASE WHEN examplars = eval_examplars THEN run_id || '-results' ELSE run_id || '-results-on-' || strategy "
-        f"|| '-answer_first=False-random_facts=False' || {shots('eval_examplars')} END AS results_name, accuracy "
-        "FROM runs JOIN e USING (strategy) JOIN m USING (run_id)"
+        f"WITH {EX}, {RUNS}, e AS (SELECT DISTINCT strategy, examplars AS eval_examplars FROM runs), "
+        f"x AS (SELECT run_id, run_no, examplars = eval_examplars AS own, {set_of.format('eval_examplars')}{shots('eval_examplars')} AS test_set, "
+        "CASE WHEN strategy = 'direct' AND eval_examplars THEN 'self_ask' ELSE strategy END AS s FROM runs JOIN e USING (strategy)), "
+        "a AS (SELECT x.*, n, answer, CASE s WHEN 'direct' THEN direct_target WHEN 'self_ask' THEN self_ask_target ELSE chain_of_thought_target END AS target FROM ex, x), "
+        f"l AS (SELECT *, trim(replace(target, {NL}, ' ')) AS line FROM a), "
+        "r AS (SELECT *, CASE WHEN own AND (n * 7 + run_no * 3) % 10 <= run_no THEN line WHEN NOT own AND (n * 3 + run_no * 7 + 4) % 10 < run_no THEN line "
+        "WHEN n % 5 = 1 THEN answer WHEN n % 5 = 2 THEN replace(line, answer, 'unknown') ELSE '' END AS response FROM l) "
+        "SELECT run_id, test_set, run_id || CASE WHEN any_value(own) THEN '-results' ELSE '-results-on-' || test_set END AS results_name, count(*) AS questions, "
+        "round(avg(contains(lower(regexp_extract(response, '.*answer is (.*)[.].*', 1)), lower(answer))::INT), 4) AS accuracy FROM r GROUP BY run_id, test_set"
     )
 
     # all texts of the grid: flags x (plain or shuffled facts)

@@ -700,11 +700,13 @@ def experiment_grid(spark, sf):
 
 @query
 def cross_evaluation(spark, sf):
-    """Accuracy of each run on its own questions beside the flags of the sets it is run on."""
-    runs = D.runs(spark)
-    macro = ev.macro(_judged(spark, sf))
-    crossed = grid.cross_runs(runs).join(macro.select("run_id", "accuracy"), "run_id")
-    return crossed.select("run_id", "eval_examplars", "results_name", "accuracy")
+    """Accuracy of each run on its own test set and on those of its strategy with other flags, scored against the set's examples."""
+    crossed = grid.cross_runs(D.runs(spark))
+    examples = D.set_examples(spark, sf, crossed)
+    scored, _ = ev.evaluate_on(examples, D.set_responses(examples, crossed), with_rouge=False)
+    macro = scored.groupBy("run_id", "test_set").agg(
+        F.count(F.lit(1)).alias("questions"), F.round(F.avg(F.col("correct").cast("double")), 4).alias("accuracy"))
+    return crossed.join(macro, ["run_id", "test_set"]).select("run_id", "test_set", "results_name", "questions", "accuracy")
 
 
 def _grid() -> list[dict]:

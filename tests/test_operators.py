@@ -352,3 +352,25 @@ def test_agreement_of_run_pairs_equals_brute_force(spark):
         assert share == pytest.approx(n / sum(want.get((a, b, x, z), 0) for z in (True, False)))
     assert an.conditional_agreement(wide.limit(0), runs).count() == 0
     assert "Generate" not in _plan(found)
+
+
+def test_runs_are_scored_on_the_set_they_answer(spark):
+    sets = spark.createDataFrame(
+        [("s1", "1", "Oslo", "The answer is Oslo."), ("s2", "1", "Bergen", "The answer is Bergen."), ("s1", "2", "Rome", "Rome")],
+        "test_set string, id string, answer string, target string")
+    said = spark.createDataFrame(
+        [("r", "s1", "1", "The answer is Oslo."), ("r", "s2", "1", "The answer is Oslo."), ("r", "s2", "2", "The answer is Rome."), ("r", None, "1", "x")],
+        "run_id string, test_set string, id string, response string")
+    scored, rejects = ev.evaluate_on(sets, said, use_stemmer=False)
+    assert {(r.test_set, r.id): (r.correct, r.rouge_1) for r in scored.collect()} == {("s1", "1"): (True, 1.0), ("s2", "1"): (False, 0.75)}
+    assert sorted((r.test_set or "", r.id) for r in rejects.collect()) == [("", "1"), ("s2", "2")]
+
+
+def test_which_test_set_a_run_uses(spark):
+    crossed = {(r.run_no, r.eval_examplars): r for r in grid.cross_runs(derived.runs(spark)).collect()}
+    # a direct run with exemplars is evaluated on the self-ask prompts, results on foreign sets name the set
+    direct = [r for r in crossed.values() if r.strategy == "direct"]
+    assert {r.test_set for r in direct if r.eval_examplars} == {"self_ask-answer_first=False-random_facts=False-with-examplars"}
+    assert {r.set_strategy for r in direct if not r.eval_examplars} == {"direct"}
+    assert all(r.own_set == (r.examplars == r.eval_examplars) for r in crossed.values())
+    assert all(r.results_name == r.run_id + ("-results" if r.own_set else f"-results-on-{r.test_set}") for r in crossed.values())

@@ -15,7 +15,7 @@ CHECKED = [
     "strategy_examples", "few_shot_prompts", "few_shot_per_row", "random_fact_order", "verify_answer", "dedup_prompts", "date_category",
     "extract_answers", "macro_results", "token_stats", "run_corr", "conditional_agreement", "context_hist",
     "rouge_n", "stream_scores", "top_bottom_random", "nth_ranked", "middle_ranked", "digest_batches",
-    "train_dev_split", "chunks", "test_build", "perturbed_prompts", "attention_top_words", "packed_inputs", "token_counts", "sample_report",
+    "train_dev_split", "chunks", "test_build", "perturbed_prompts", "attention_top_words", "packed_inputs", "token_counts", "sample_report", "cross_evaluation",
 ]
 
 
