@@ -33,32 +33,47 @@ def lcs_batch(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(a, b) for a, b in zip(left, right)], dtype="int32")
 
 
-def _shared(left, right) -> int:
+def _shared(left: Counter, right: Counter) -> int:
     """Size of the multiset intersection."""
-    return (Counter(left) & Counter(right)).total()
+    if len(left) > len(right):
+        left, right = right, left
+    return sum(min(n, right[item]) for item, n in left.items() if item in right)
 
 
 def overlap_batch(left: pd.Series, right: pd.Series, stem=None, with_lcs: bool = True) -> pd.DataFrame:
     """Lengths, shared 1- and 2-grams and subsequence length of two word columns.
 
-    ``stem`` maps a word to its stem; each distinct word of a batch is stemmed once.
+    ``stem`` maps a word to its stem.  Within a batch each distinct word is
+    stemmed once, each distinct text is counted once and each distinct pair of
+    texts compared once: many runs answer a question alike, against one target.
     """
     known: dict[str, str] = {}
+    texts: dict[str, tuple[list[str], Counter, Counter]] = {}
+    pairs: dict[tuple[str, str], tuple[int, ...]] = {}
 
-    def words(text: str) -> list[str]:
-        items = text.split()
-        if stem is None:
-            return items
-        for w in items:
-            if w not in known:
-                known[w] = stem(w)
-        return [known[w] for w in items]
+    def counted(text: str) -> tuple[list[str], Counter, Counter]:
+        found = texts.get(text)
+        if found is None:
+            items = text.split()
+            if stem is not None:
+                for w in items:
+                    if w not in known:
+                        known[w] = stem(w)
+                items = [known[w] for w in items]
+            found = texts[text] = (items, Counter(items), Counter(zip(items, items[1:])))
+        return found
+
+    def compare(one: str, other: str) -> tuple[int, ...]:
+        a, a_words, a_pairs = counted(one)
+        if one == other:
+            return len(a), len(a), len(a), max(0, len(a) - 1), len(a) if with_lcs else 0
+        b, b_words, b_pairs = counted(other)
+        return len(a), len(b), _shared(a_words, b_words), _shared(a_pairs, b_pairs), lcs_length(a, b) if with_lcs else 0
 
     rows = []
-    for a, b in zip(left, right):
-        a, b = words(a), words(b)
-        rows.append((
-            len(a), len(b), _shared(a, b), _shared(zip(a, a[1:]), zip(b, b[1:])),
-            lcs_length(a, b) if with_lcs else 0,
-        ))
+    for key in zip(left, right):
+        row = pairs.get(key)
+        if row is None:
+            row = pairs[key] = compare(*key)
+        rows.append(row)
     return pd.DataFrame(rows, columns=["n_truth", "n_response", "shared_1", "shared_2", "lcs"], dtype="int32")

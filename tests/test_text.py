@@ -90,3 +90,24 @@ def test_numbered_runs(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "a array<string>").select(T.numbered(F.col("a"))).collect()]
     assert got[0] == ["a\x010", "b\x010", "b\x011", "b\x012"] and got[1] == [] and got[2] is None
     assert len(set(got[3])) == 20_000 and got[3][-1] == "x\x0119999"
+
+
+def test_overlap_of_a_batch_equals_brute_force():
+    import random
+    from collections import Counter
+
+    import pandas as pd
+
+    from hopframe.functions.sequence import lcs_length, overlap_batch
+    from hopframe.functions.stemming import stem_word
+
+    rng = random.Random(9)
+    said = [" ".join(rng.choice("the cats cat running run city".split()) for _ in range(rng.randrange(9))) for _ in range(25)]
+    left, right = ([rng.choice(said) for _ in range(200)] for _ in range(2))
+    for stem in (None, stem_word):
+        for with_lcs in (True, False):
+            got = overlap_batch(pd.Series(left), pd.Series(right), stem, with_lcs)
+            for (a, b), row in zip(zip(left, right), got.itertuples(index=False)):
+                a, b = ([stem(w) if stem else w for w in x.split()] for x in (a, b))
+                shared = [(Counter(zip(*[a[i:] for i in range(n)])) & Counter(zip(*[b[i:] for i in range(n)]))).total() for n in (1, 2)]
+                assert tuple(row) == (len(a), len(b), *shared, lcs_length(a, b) if with_lcs else 0)
