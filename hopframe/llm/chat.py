@@ -123,7 +123,7 @@ def format_turns(rows: DataFrame, vocabulary: bytes | None = None, conv: str = "
 
 
 def read_back(segments: DataFrame, vocabulary: bytes | None = None, conv: str = "conv_id") -> DataFrame:
-    """Digests of each conversation from its segments, which stand in order as ``format_turns`` leaves them."""
+    """Digests of each conversation from its segments, in whatever order and layout they are stored."""
     data = vocabulary if vocabulary is not None else read_bytes(TOKENIZER)
     conv_type = segments.schema[conv].dataType
     columns = f"conv {conv_type.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -163,4 +163,5 @@ def read_back(segments: DataFrame, vocabulary: bytes | None = None, conv: str =
         if state:
             yield emit([done(state)])
 
-    return segments.select(conv, "seq", "input_ids", "loss_mask").mapInArrow(run, columns).withColumnRenamed("conv", conv)
+    ordered = segments.select(conv, "seq", "input_ids", "loss_mask").repartition(conv).sortWithinPartitions(conv, "seq")
+    return ordered.mapInArrow(run, columns).withColumnRenamed("conv", conv)

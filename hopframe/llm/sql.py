@@ -53,10 +53,11 @@ fill AS (
   FROM fill WHERE round < 60 AND weights > 0),
 t AS (SELECT source, source_size, least({MOST} * source_size, weight * (SELECT level FROM fill ORDER BY round DESC LIMIT 1))::DOUBLE AS target FROM s),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM t),
-g AS (SELECT source, h, sum(size) AS s, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h)
+g AS (SELECT source, h, count(*) AS m, sum(size) AS s, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, h ORDER BY doc_id, size) AS rn FROM d)
 SELECT d.doc_id, d.size, q.source_size, q.target,
-  (d.size * (q.copies + CASE WHEN 2 * (g.upto - g.s) + g.s <= 2 * (q.target - q.copies * q.source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN g ON g.source IS NOT DISTINCT FROM d.source AND g.h = d.h
+  (d.size * (q.copies + CASE WHEN 2 * (g.upto - g.s) + (2 * rn - 1) * (g.s / g.m) <= 2 * (q.target - q.copies * q.source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM n AS d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN g ON g.source IS NOT DISTINCT FROM d.source AND g.h = d.h
 """
 
 

@@ -334,7 +334,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def add_scores(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
-    """All columns of ``docs`` with the score of each whole text."""
+    """All columns of ``docs`` with the score of each whole text; a column that has the score's name is replaced."""
+    if column == text:
+        raise ValueError(f"the score would replace the text column {text!r}")
+    docs = docs.drop(column)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index(text)
     table, rest = model.table, (model.bias, model.slope, model.middle)

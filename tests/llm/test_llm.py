@@ -309,6 +309,26 @@ def test_mix_targets_are_met(spark):
     assert all(abs(r["taken"] - r["target"]) <= 8 and r["target"] <= 3 * r["source_size"] for r in sums)
 
 
+def test_mix_cuts_through_equal_rows(spark):
+    """The threshold of a source falls among 60 rows of one id and text; query, SQL and corpus agree."""
+    import duckdb
+
+    rows = [(1, "w " * 15, "b")] * 60 + [(i, "w " * 10, "b") for i in range(2, 12)] + [(i, "w " * 10, "a") for i in range(20, 420)]
+    rows += [(500, "w " * 50, "c")] * 40 + [(501, None, None)] * 5
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    table = mixing.mix_table(frame)
+    got = sorted(tuple(r[c] for c in columns) for r in table.collect())
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    want = sorted(con.sql(sql.oracle_sql()["op4_mixing"]).project(", ".join(columns)).fetchall())
+    assert got == [pytest.approx(w) for w in want]
+    for r in table.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("most")).collect():
+        assert abs(r["taken"] - r["target"]) <= r["most"] / 2
+    mixed = mixing.mix(frame).groupBy("doc_id").count().collect()
+    assert dict(mixed) == {k: n for k, n in table.groupBy("doc_id").agg(F.sum("times")).collect() if n}
+
+
 def test_shards(spark, sf, docs):
     rows = queries.op5_sharding(spark, sf).collect()
     assert all(r["text_crc32"] == zlib.crc32(docs[r["doc_id"]]["text"].encode()) and r["size"] == len(docs[r["doc_id"]]["text"].encode()) + 1 for r in rows)
@@ -462,6 +482,21 @@ def test_chat_edges(spark):
     assert chat.read_back(chat.format_turns(frame.limit(0))).count() == 0
 
 
+def test_chat_reads_any_layout(spark, tmp_path):
+    """Segments written, dealt anew by something else and reread give the same digests."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}") for c in range(30) for t in range(6)]
+    formatted = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    formatted.repartition(7, F.xxhash64("seq", "conv_id")).write.parquet(str(tmp_path / "segments"))
+    stored = spark.read.parquet(str(tmp_path / "segments"))
+    assert sorted(chat.read_back(stored).collect()) == sorted(chat.read_back(formatted).collect())
+    assert {r["n_turns"] for r in chat.read_back(stored).collect()} == {6}
+
+
+def test_a_score_replaces_a_column_of_its_name(odd):
+    scored = toxicity.add_scores(odd, toxicity.fit([]))
+    assert scored.columns.count("score") == 1 and {r["score"] for r in scored.collect()} == {0.0}
+
+
 # --- 10 decontamination
 
 
