@@ -4,19 +4,24 @@ Words are compared by the subsequences of three and four characters they share
 within a span of six, each weighed by 0.6 to the number of skipped characters, so an
 insult with inserted, left-out or parted characters keeps most of its kernel
 with the plain one.  Words are normalized by their length.  The SVM is trained
-on sentences of labelled documents: a sentence scores as its worst word, and a
-toxic document needs one toxic sentence, so each round takes the worst word of
-each toxic document as its witness and the worst words of clean ones as
-counter-examples.  With Nystroem features the decision is linear in the
-subsequences; it is folded into one table over all subsequences, which scores a
-distinct word in about a microsecond.  A logistic curve over a document's worst word
-gives the score.
+on sentences of labelled documents, as bags of words: a sentence scores as its
+worst word.  First, each toxic sentence puts forward the word whose subsequences
+toxic sentences hold most in excess of clean ones; it is an example if it
+exceeds the worst words of 99 in 100 clean sentences, whatever the number of
+sentences.  Later rounds add the worst word of each toxic document, where the
+model agrees, and the worst words of clean ones as counter-examples.  The kernel
+does not cross words, so an insult of several innocent words is not seen.  With
+Nystroem features the decision is linear in the subsequences; it is folded into
+one table over all subsequences, which scores a distinct word in about a
+microsecond.  A logistic curve over a document's worst word gives the score.
 
 Whole texts are scored: every distinct word, and runs of single characters
 joined.  Words beyond 24 characters are scored in overlapping pieces.
 
 Bounds of the fit: ``docs_per_class`` labelled documents of each class and
-``sentences_per_doc`` sentences of each, of at most ``sentence_chars``.  The
+``sentences_per_doc`` sentences of each, of at most ``sentence_chars``; of their
+distinct words the SVM sees the EXAMPLES most frequent examples, COUNTERS drawn
+clean words and in each round the EXAMPLES worst clean ones.  The
 bounded sample is fitted in one task of an executor, in an order of its own, so
 that a retry gives the same model; only the model comes to the driver.
 
@@ -46,7 +51,9 @@ SPAN, DECAY = 5, 0.6
 SYMBOLS = 64
 LONGEST = 24
 CUT = 0.7
-SUPPORT = 8
+EXAMPLES, COUNTERS = 4_000, 8_000
+SHRINK = 3.0  # sentences' worth of weight that a subsequence must outdo to count as telling
+CLEAN_SHARE = 0.99
 
 # Offsets of the further characters of a subsequence, and its weight: three characters, and four.
 PATTERNS = [((j, k), DECAY ** (k - 2)) for k in range(2, SPAN + 1) for j in range(1, k)]
@@ -214,26 +221,20 @@ def fit(bags: list[tuple[int, list[str]]], odds_of_all: float | None = None, rou
     words_in: list[Counter] = [Counter(), Counter()]
     for s, label in label_of.items():
         words_in[label].update(held[s])
-    grams_in: list[Counter] = [Counter(), Counter()]
-    for label in (0, 1):
-        for w, k in words_in[label].items():
-            for g in _grams(w):
-                grams_in[label][g] += k
-    n = [max(1, sum(1 for x in label_of.values() if x == c)) for c in (0, 1)]
-
-    def odds(g: str) -> float:
-        return float(np.log((grams_in[1][g] + 0.1) / n[1]) - np.log((grams_in[0][g] + 0.5) / n[0]))
-
-    # First examples: words with a substring that many toxic and hardly any clean sentences hold.
-    telling = {g for g, k in grams_in[1].items() if k >= SUPPORT and odds(g) > 2.5}
-    examples = Counter({w: k for w, k in words_in[1].items() if any(g in telling for g in _grams(w))})
     clean = sorted(words_in[0])
+    every = sorted(words_in[0] | words_in[1])
     rng = np.random.default_rng(seed)
+    first = _evidence(words_in)
+    margin = dict(zip(every, first.margins(every).tolist(), strict=True))
+    worst_of = {s: max(sorted(words), key=margin.__getitem__) for s, words in held.items() if words}
+    usual = [margin[w] for s, w in worst_of.items() if not label_of[s]]
+    floor = max(0.0, float(np.quantile(usual, CLEAN_SHARE))) if usual else 0.0
+    examples = Counter(w for s, w in worst_of.items() if label_of[s] and margin[w] > floor)
     # Insults with one strange character are examples too, of less weight.
-    for w in sorted(w for w, k in words_in[1].items() if k >= SUPPORT and w in examples):
+    for w in sorted(w for w, k in examples.items() if k >= 2):
         for at in range(2, len(w) - 1):
             examples.setdefault(w[:at] + chr(int(rng.integers(ord("a"), ord("z") + 1))) + w[at:], 1)
-    counter = set(rng.choice(clean, size=min(len(clean), 8_000), replace=False).tolist()) if clean else set()
+    counter = set(rng.choice(clean, size=min(len(clean), COUNTERS), replace=False).tolist()) if clean else set()
     maker = Words(SYMBOL_OF)
     model = None
     for _ in range(rounds):
@@ -241,13 +242,12 @@ def fit(bags: list[tuple[int, list[str]]], odds_of_all: float | None = None, rou
         negative = sorted(counter - set(positive))
         if not positive or not negative:
             break
-        model = _train(positive[:4000], negative, examples, maker, rng)
-        every = sorted(words_in[0] | words_in[1])
+        model = _train(positive[:EXAMPLES], negative, examples, maker, rng)
         margin = dict(zip(every, model.margins(every).tolist(), strict=True))
         # The worst word of a toxic sentence or document joins the examples only if the model agrees.
         found = Counter(max(words, key=margin.__getitem__) for label, words in docs if label)
         examples = examples | Counter({w: k for w, k in found.items() if margin[w] > 0.5})
-        hard = sorted((w for w in clean if margin[w] > -0.9), key=margin.__getitem__, reverse=True)[:4000]
+        hard = sorted((w for w in clean if margin[w] > -0.9), key=margin.__getitem__, reverse=True)[:EXAMPLES]
         counter.update(hard)
     if model is None:
         return nothing
@@ -258,10 +258,25 @@ def fit(bags: list[tuple[int, list[str]]], odds_of_all: float | None = None, rou
     return model
 
 
-def _grams(word: str) -> set[str]:
-    """Substrings of five characters, ends included."""
-    edged = f"^{word}$"
-    return {edged[i : i + 5] for i in range(max(1, len(edged) - 4))}
+def _evidence(words_in: list[Counter]) -> Model:
+    """Squared log ratio, with its sign, of each subsequence in toxic to clean sentences; rare ones are drawn to 0."""
+    maker = Words(SYMBOL_OF)
+    sums = []
+    for counts in words_in:
+        total = np.zeros(2 * SLOTS)
+        by_length: dict[int, list[str]] = {}
+        for w in sorted(counts):
+            by_length.setdefault(len(w), []).append(w)
+        for words in by_length.values():
+            for at in range(0, len(words), 20_000):
+                some = words[at : at + 20_000]
+                times = np.array([counts[w] for w in some], dtype=np.float64)
+                for codes, _ in maker.codes(some):
+                    total += np.bincount(codes.ravel(), weights=np.repeat(times, codes.shape[1]), minlength=2 * SLOTS)
+        sums.append(total)
+    expected = sums[0] * (sums[1].sum() / max(1.0, sums[0].sum()))
+    ratio = np.log((sums[1] + SHRINK) / (expected + SHRINK))
+    return Model((np.sign(ratio) * ratio**2).astype(np.float32), 0.0, 1.0, 0.0)
 
 
 def _train(positive: list[str], negative: list[str], examples: Counter, maker: Words, rng: np.random.Generator) -> Model:

@@ -403,6 +403,38 @@ def test_kernel_of_many_words_of_one_length():
     assert np.allclose(toxicity.Model(table, 0.25, 1.0, 0.0).margins(found), got @ weights + 0.25, atol=1e-3)
 
 
+def test_toxicity_kernel_is_a_count_of_subsequences():
+    """Margins against every pick of three and four characters within the span, counted one by one."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    table = rng.normal(size=2 * toxicity.SLOTS).astype(np.float32)
+    of = toxicity.symbol_table()
+    for word in ("scum", "w0rthless", "ça", "it", "x" * 24, "disgusting"):
+        s = [int(of[ord(c)]) for c in f"^{word}$"]
+        total = 0.0
+        for k in (3, 4):
+            for at in combinations(range(len(s)), k):
+                if at[-1] - at[0] <= toxicity.SPAN:
+                    code = 0
+                    for i in at:
+                        code = code * toxicity.SYMBOLS + s[i]
+                    slot = code if k == 3 else toxicity.SLOTS + ((code * 40503) >> 6) % toxicity.SLOTS
+                    total += toxicity.DECAY ** (at[-1] - at[0] + 1 - k) * float(table[slot])
+        got = toxicity.Model(table, 0.5, 1.0, 0.0).margins([word])[0]
+        assert got == pytest.approx(total / toxicity.length_norm(len(word)) + 0.5, rel=1e-3, abs=1e-3)
+
+
+def test_toxicity_learns_insults_of_few_sentences():
+    """Three toxic sentences with one insult are enough on a small table; no number of sentences is required."""
+    rng = np.random.default_rng(9)
+    calm = [" ".join(rng.choice("the sun rises over green hills and rivers while children play games near old houses".split(), 9)) for _ in range(120)]
+    bags = [(0, calm[3 * i : 3 * i + 3]) for i in range(30)] + [(1, [calm[90 + i], f"{calm[100 + i]} grubwort {calm[110 + i]}"]) for i in range(3)]
+    model = toxicity.fit(bags)
+    margins = model.text_margins(["the sun and a grubwort", "old hills and rivers", "a gru-bwort near houses"])
+    assert margins[0] > margins[1] and margins[2] > margins[1]
+
+
 def test_toxicity_edges(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (4, 0), (5, 0), (8, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.learn(odd, labels)
