@@ -300,6 +300,14 @@ def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decoder_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention of ten output positions per text and head."""
+    place = F.col("id") % 10
+    return attention(spark, sf_dir).select(
+        F.floor(F.col("id") / 10).cast("long").alias("id"), "layer", "head", place.cast("int").alias("out_pos"), "in_pos", "weight"
+    )
+
+
 def token_name(position: Column) -> Column:
     """Token at a position: every third one starts a word."""
     text = position.cast("string")

@@ -575,6 +575,11 @@ mixed AS (
     q["normalized_targets"] = (
         f"WITH {EX} SELECT id, answer, trim(regexp_replace(self_ask_target, '\\s+', ' ', 'g')) AS target FROM ex"
     )
+    q["progress_counts"] = (
+        f"WITH {RESP} SELECT run_id, count(*) AS expected, count(*) FILTER (n % 4 < 2) AS responses, "
+        "count(answer) FILTER (n % 4 < 2 AND n % 8 <> 1) AS answers, count(target) FILTER (n % 4 < 2 AND n % 8 <> 1) AS targets, "
+        "count(*) FILTER (n % 4 >= 2) AS missing, count(*) FILTER (n % 8 = 1) AS unaligned FROM resp GROUP BY run_id"
+    )
     q["stream_scores"] = f"WITH {SCORED} SELECT run_id, id, correct, self_ask, {_rounds(METRICS)} FROM scored"
 
     # analysis
@@ -832,6 +837,15 @@ cells AS (
         "FROM m GROUP BY id, layer, head, in_pos // 3 + 1) "
         "SELECT id, layer, head, (row_number() OVER (PARTITION BY id, layer, head ORDER BY w DESC, word_no))::INT AS rank, word, round(w, 6) AS weight FROM t QUALIFY rank <= 5"
     )
+    q["phrase_top_words"] = (
+        f"WITH {_att()}, p AS (SELECT id // 10 AS id, layer, head, id % 10 AS out_pos, in_pos, weight FROM att), "
+        "s AS (SELECT id, layer, head, in_pos, sum(weight) AS w FROM p WHERE out_pos BETWEEN 3 AND 5 AND id IN (SELECT id FROM p GROUP BY id HAVING max(out_pos) >= 5) GROUP BY ALL), "
+        "e AS (SELECT *, exp(w - max(w) OVER (PARTITION BY id, layer, head)) AS e FROM s), "
+        "m AS (SELECT id, layer, head, in_pos, e / sum(e) OVER (PARTITION BY id, layer, head) AS w FROM e), "
+        "t AS (SELECT id, layer, head, in_pos // 3 + 1 AS word_no, string_agg(CASE WHEN in_pos % 3 = 0 THEN '▁w' || in_pos ELSE 's' || in_pos END, '' ORDER BY in_pos) AS word, round(sum(w), 9) AS w "
+        "FROM m GROUP BY id, layer, head, in_pos // 3 + 1) "
+        "SELECT id, layer, head, (row_number() OVER (PARTITION BY id, layer, head ORDER BY w DESC, word_no))::INT AS rank, word, round(w, 6) AS weight FROM t QUALIFY rank <= 5"
+    )
     q["phrase_attention"] = (
         f"WITH {_att()} SELECT id, layer, head, out_pos, count(*) AS cells, round(sum(weight), 6) AS weight FROM att WHERE out_pos BETWEEN 3 AND 5 GROUP BY ALL"
     )

@@ -24,6 +24,7 @@ from hopframe.operators.examples import causal_input, make_examples, make_exempl
 from hopframe.plans import builds, derived as D, grid
 from hopframe.session import shared_dir
 from hopframe.sources import sinks
+from hopframe.sources.progress import Progress
 from hopframe.streaming import scores as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -431,6 +432,18 @@ def normalized_targets(spark, sf):
     return ev.normalize(ex.select("id", "answer", "target"), ["answer", "target"])
 
 
+@query
+def progress_counts(spark, sf):
+    """Two batches of responses with their processed targets, some not processed, and a third whose writer was killed."""
+    rows = D.responses(spark, sf)
+    progress = Progress(spark, shared_dir(spark, "progress"))
+    for k in (0, 1):
+        part = rows.where(F.col("n") % 4 == k)
+        progress.save(part, part.where(F.col("n") % 8 != 1), k)
+    progress.write("responses", rows.where(F.col("n") % 4 == 2).select("run_id", "id", "response"), 2)
+    return progress.completeness(rows)
+
+
 @query
 def stream_scores(spark, sf):
     """All responses arriving as files, some of them twice, scored once each."""
@@ -759,6 +772,18 @@ def phrase_attention(spark, sf):
         F.count(F.lit(1)).alias("cells"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
+@query
+def phrase_top_words(spark, sf):
+    """Attention of a phrase of three output positions, summed, softmax over the input, by words."""
+    weights = D.decoder_attention(spark, sf)
+    tokens = weights.groupBy("id").agg(F.max("out_pos").alias("last")).select(
+        "id", F.transform(F.sequence(F.lit(0), F.col("last")), lambda p: D.token_name(p)).alias("tokens"))
+    total = att.sum_over_window(att.phrase_attention(weights, tokens, ["▁w3", "s4", "s5"]))
+    soft = att.softmax_by(total, att.HEAD).withColumn("token", D.token_name(F.col("in_pos")))
+    words = att.merge_words(soft).withColumn("weight", F.round("weight", 9))
+    return att.top_words(words, 5).select(*att.HEAD, "rank", "word", F.round("weight", 6).alias("weight"))
+
+
 @query
 def head_slices(spark, sf):
     part = att.select_slice(D.attention(spark, sf).withColumn("kind", F.lit("cross")), 0, 3, "cross")

@@ -59,3 +59,15 @@ def local_session(cores: str | int = 8, memory: str = "16g") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def complete_folders(spark: SparkSession, root: str, kind: str) -> list[int]:
+    """Numbers of the folders ``<root>/<kind>=<number>`` whose write ended."""
+    jvm = spark._jvm
+    home = jvm.org.apache.hadoop.fs.Path(root)
+    files = home.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(home):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(home)]
+    whole = [n for n in names if n.startswith(f"{kind}=") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in whole)

@@ -33,12 +33,11 @@ def write_chunks(df: DataFrame, root: str, chunks: int = 15, key: str = "pos", k
 
 
 def write_exemplars(pool: DataFrame, path: str) -> None:
-    """Exemplars as text, a blank line after each.
+    """Exemplars as they are, closing newline included, and a newline after each: a blank line stands between them.
 
     The pool is a handful of rows, so it goes into one file to keep its order.
     """
-    texts = pool.orderBy("id").select(F.regexp_replace("text", r"\n+$", "").alias("value"))
-    texts.coalesce(1).write.mode("errorifexists").option("lineSep", "\n\n").text(path)
+    pool.orderBy("id").select("text").coalesce(1).write.mode("errorifexists").option("lineSep", "\n").text(path)
 
 
 def accumulate_ids(spark: SparkSession, root: str, new: DataFrame, version: int) -> DataFrame:

@@ -16,6 +16,7 @@ CHECKED = [
     "extract_answers", "macro_results", "token_stats", "run_corr", "conditional_agreement", "context_hist",
     "rouge_n", "stream_scores", "top_bottom_random", "nth_ranked", "middle_ranked", "digest_batches",
     "train_dev_split", "chunks", "test_build", "perturbed_prompts", "attention_top_words", "packed_inputs", "token_counts", "sample_report", "cross_evaluation",
+    "phrase_top_words", "progress_counts",
 ]
 
 

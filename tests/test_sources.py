@@ -7,6 +7,7 @@ from hopframe.operators import evaluate as ev
 from hopframe.operators.facts import resolve_facts
 from hopframe.plans import derived
 from hopframe.sources import prepared, raw, sinks
+from hopframe.sources.progress import Progress
 from hopframe.streaming import scores as st
 
 WIKI = [
@@ -103,6 +104,13 @@ def test_examples_written_by_flags_are_pruned(spark, tmp_path):
     _dump(inv / "a.json", [{"id": "1", "prompt": "p"}, {"id": "2", "prompt": "q"}])
     row = prepared.inventory(spark, str(inv)).first()
     assert row.file == "a.json" and row.rows == 2 and '"id":"1"' in row.first_row
+    _dump(inv / "b.json", [{"question": "q", "score": 0.5, "facts": ["f"]}])
+    _dump(inv / "c.json", {"macro_results": {"accuracy": 1.0}})
+    rows = {r.file: r for r in prepared.inventory(spark, str(inv)).collect()}
+    assert [rows[f].rows for f in ("a.json", "b.json", "c.json")] == [2, 1, 1]
+    assert json.loads(rows["b.json"].first_row) == {"question": "q", "score": 0.5, "facts": ["f"]}
+    assert json.loads(rows["c.json"].first_row) == {"macro_results": {"accuracy": 1.0}}
+    assert "macro_results" in rows["c.json"].fields and "score" in rows["b.json"].fields and "score" not in rows["a.json"].fields
     assert prepared.read_examples_json(spark, str(inv / "a.json")).count() == 2
 
 
@@ -127,6 +135,28 @@ def test_small_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "chunks")).select("chunk").distinct().count() == 15
 
 
+def test_exemplar_file_is_as_given(spark, tmp_path):
+    pool = spark.createDataFrame([("2", "b\n"), ("1", "a\nline\n")], "id string, text string")
+    sinks.write_exemplars(pool, str(tmp_path / "pool"))
+    assert "".join(p.read_text() for p in (tmp_path / "pool").glob("part-*")) == "a\nline\n\nb\n\n"
+
+
+def test_progress_resumes_after_a_kill(spark, tmp_path):
+    rows = spark.range(12).selectExpr("'r' AS run_id", "cast(id AS string) AS id", "concat('x', id) AS response", "'a' AS answer", "'t' AS target")
+    progress = Progress(spark, str(tmp_path / "p"))
+    assert progress.batches() == [] and progress.remaining(rows).count() == 12
+    progress.save(rows.where("id < 4"), rows.where("id < 4"), 0)
+    # the writer dies after the responses of batch 1
+    progress.write("responses", rows.where("id >= 4 AND id < 8").select("run_id", "id", "response"), 1)
+    assert progress.batches() == [0] and progress.responses().count() == 4
+    got = progress.completeness(rows).first().asDict()
+    assert got == {"run_id": "r", "expected": 12, "responses": 4, "answers": 4, "targets": 4, "missing": 8, "unaligned": 0}
+    left = progress.remaining(rows)
+    progress.save(left, left.where("id <> 11"), 1)
+    got = progress.completeness(rows).first().asDict()
+    assert progress.batches() == [0, 1] and got["missing"] == 0 and got["responses"] == 12 and got["unaligned"] == 1
+
+
 def test_run_documents(spark, tmp_path, sf):
     rows = derived.responses(spark, sf).where("run_no IN (1, 9)")
     scored = ev.score(rows).select("run_id", "id", "pos", "correct", *ev.METRICS)
