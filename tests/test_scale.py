@@ -42,3 +42,21 @@ def test_lines_lose_blanks_of_any_kind(spark):
     assert tuple(row) == ("a\n\nb\tc\n", "a \x1f\n\n  b\tc")
 
 
+def test_ranked_rows_carry_no_texts(spark, sf):
+    assert registry._keyed_scores(spark, sf).columns == ["key", "f1_2"]
+
+
+def test_overlap_equals_direct_counts():
+    import random
+    from collections import Counter
+
+    import pandas as pd
+
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices("abcd", k=draw.choice([0, 1, 2, 9]))) for _ in range(300)]
+    left, right = pd.Series(texts), pd.Series(texts[::-1])
+    got = overlap_batch(left, right, None, False)
+    for one, other, row in zip(left, right, got.itertuples(index=False), strict=True):
+        a, b = one.split(), other.split()
+        pairs = (Counter(zip(a, a[1:])) & Counter(zip(b, b[1:]))).total()
+        assert tuple(row) == (len(a), len(b), (Counter(a) & Counter(b)).total(), pairs, 0)
