@@ -46,6 +46,24 @@ def test_ranked_rows_carry_no_texts(spark, sf):
     assert registry._keyed_scores(spark, sf).columns == ["key", "f1_2"]
 
 
+def test_small_draws_count_no_buckets(spark):
+    df = spark.range(500).select(F.concat(F.lit("q"), "id").alias("id"))
+    few = {r.id for r in df.where(od.drawn(df, 20, 7)).collect()}
+    order = [r.id for r in df.orderBy(T.seeded_key(7, "id")).collect()]
+    assert few == set(order[:20])
+    assert "bucket" not in _plan(df.where(od.drawn(df, 20, 7)))
+    assert df.where(od.drawn(df, 501, 7)).count() == 500
+
+
+def test_grid_counts_tokens_of_few_shot_prompts(spark, sf):
+    ents, res = registry.D.entities(spark, sf), registry._resolved(spark, sf).limit(30)
+    shots = builds.exemplar_table(res.limit(5), registry._grid(), entities=ents)
+    built = builds.build_grid(res, registry._grid(), shots, True, 2, 42, ents)
+    again = built.withColumn("p", T.token_count("prompt")).withColumn("t", T.token_count("target"))
+    assert again.where("examplars").count() > 0
+    assert again.where("NOT (num_prompt_tokens <=> p AND num_target_tokens <=> t AND num_tokens <=> p + t)").count() == 0
+
+
 def test_overlap_equals_direct_counts():
     import random
     from collections import Counter
