@@ -1,23 +1,23 @@
 """Overlap of two datasets: exact, by shared answer, and by edit similarity.
 
 The similarity of two texts is 200 * LCS / (len a + len b), rounded to a whole
-number.  Candidate pairs come from a key join on rare character pairs that no
-qualifying pair can miss; the rest of the module explains the bounds.
+number.  Texts meet in blocks of similar length, where counts of characters and
+of neighbouring pairs put out those no qualifying pair can miss.
 """
 
 from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopframe.functions.sequence import lcs_batch
-from hopframe.functions.text import adjacent, numbered
+from hopframe.functions.sequence import similar_in_blocks
 from hopframe.session import ship_helpers
 
-# Rows of the larger side that one join key may bring into one task before the key is split.
-KEY_ROWS = 50_000
+# Texts, and characters of texts, of one side that meet in one block.
+KEY_ROWS, KEY_CHARS = 8_192, 2_000_000
 
 
 def exact_overlap(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
@@ -39,10 +39,10 @@ class _Bounds:
     """What a score of at least ``threshold`` implies.
 
     With r = (threshold - 0.5) / 100, S the sum of both lengths and L the LCS:
-    L >= r*S/2, the shorter text has at least r/(2-r) of the longer one's length,
-    and at most S - 2L characters are unmatched.  Each unmatched character breaks
-    at most one adjacent matched pair, so the texts share at least
-    3L - S - 1 >= (1.5*r - 1)*S - 1 character pairs, counted with repeats.
+    L >= r*S/2, and the shorter text has at least r/(2-r) of the longer one's
+    length.  At most S - 2L characters are unmatched, and each breaks at most
+    one adjacent matched pair, so the texts share at least 3L - S - 1 character
+    pairs, counted with repeats.
     """
 
     def __init__(self, threshold: float):
@@ -50,137 +50,62 @@ class _Bounds:
         if not 0 < self.r < 1:
             raise ValueError("the threshold must lie between 1 and 100")
         self.shorter = self.r / (2 - self.r)
-        self.pair_rate = 1.5 * self.r - 1
-        # Up to this length single characters are used as well, for pairs of texts
-        # whose sum of lengths guarantees no shared character pair.
-        self.short = math.inf if self.pair_rate <= 0 else math.ceil(2 / self.pair_rate)
 
-    def least_sum(self, length: Column) -> Column:
-        return length + F.ceil(length * F.lit(self.shorter) - F.lit(1e-9))
-
-    def pair_prefix(self, length: Column) -> Column:
-        """How many of a text's rarest character pairs must be indexed."""
-        need = F.ceil(self.least_sum(length) * F.lit(self.pair_rate) - 1 - F.lit(1e-9))
-        return (length - 1) - F.greatest(need, F.lit(1)) + 1
-
-    def char_prefix(self, length: Column) -> Column:
-        need = F.ceil(self.least_sum(length) * F.lit(self.r / 2) - F.lit(1e-9))
-        return length - F.greatest(need, F.lit(1)) + 1
-
-    def pair_rank(self, length: Column, other: Column) -> Column:
-        """The last rank at which a shared character pair counts for this partner."""
-        need = F.ceil((length + other) * F.lit(self.pair_rate) - 1 - F.lit(1e-9))
-        return (length - 1) - F.greatest(need, F.lit(1)) + 1
-
-    def lengths_fit(self, la: Column, lb: Column) -> Column:
-        return F.least(la, lb) >= F.greatest(la, lb) * F.lit(self.shorter) - F.lit(1e-9)
-
-
-def _grams(df: DataFrame, bounds: _Bounds) -> DataFrame:
-    """(uid, len, kind, gram, prefix): repeated grams are numbered, so they form sets."""
-    length = F.col("len")
-    letters = F.split("text", "")
-
-    chars = df.where(length <= bounds.short) if bounds.short != math.inf else df
-    out = chars.select(
-        "uid", "len", bounds.char_prefix(length).alias("prefix"), F.lit("c").alias("kind"),
-        F.explode(numbered(letters)).alias("gram"),
-    )
-    if bounds.pair_rate > 0:
-        out = out.unionByName(df.where(length >= 2).select(
-            "uid", "len", bounds.pair_prefix(length).alias("prefix"), F.lit("p").alias("kind"),
-            F.explode(numbered(adjacent(letters, ""))).alias("gram"),
-        ))
-    return out
-
-
-def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def band(self, length: Column) -> Column:
+        """Lengths in bands so wide that partners lie in the same band or the next ones."""
+        return F.floor(F.log(length.cast("double")) / F.lit(-math.log(self.shorter) + 1e-6)).cast("int")
 
 
 def _side(df: DataFrame, col: str) -> DataFrame:
-    """Distinct non-empty texts, keyed and partitioned by digest.
-
-    The steps behind this are heavy on a small input, so the partition number
-    is the session's own and not left to be merged by size.
-    """
-    return (
-        df.select(F.col(col).alias("text")).where(F.length("text") > 0).distinct()
-        .select(F.xxhash64("text").alias("uid"), "text", F.length("text").alias("len"))
-        .repartition(_parts(df), "uid")
-    )
+    """Distinct non-empty texts with their length."""
+    return df.select(F.col(col).alias("text")).where(F.length("text") > 0).distinct().withColumn("len", F.length("text"))
 
 
-def _rarest(grams: DataFrame, usage: DataFrame) -> DataFrame:
-    """The indexed grams of each text: those of one side only come first and need no
-    index entry, then the shared ones by rising frequency."""
-    order = Window.partitionBy("uid", "kind").orderBy("shared", "freq", "gram")
-    return (
-        grams.join(usage, ["kind", "gram"])
-        .withColumn("nth", F.row_number().over(order))
-        .where((F.col("nth") <= F.col("prefix")) & F.col("shared"))
-    )
+def _parts(df: DataFrame) -> Column:
+    """Into how many parts the texts of the column ``band`` are dealt; there are few bands, lengths being their logarithm."""
+    sizes = df.groupBy("band").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / F.lit(KEY_ROWS)), F.ceil(F.sum("len") / F.lit(KEY_CHARS)),
+    ).cast("int").alias("parts"))
+    known = sizes.agg(F.map_from_entries(F.collect_list(F.struct("band", "parts")))).scalar()
+    return F.try_element_at(known, F.col("band"))
 
 
 def fuzzy_pairs(a: DataFrame, b: DataFrame, col: str, threshold: int = 80) -> DataFrame:
     """All pairs of distinct texts of both sides with a similarity of at least ``threshold``.
 
-    Lossless: texts are de-duplicated, each is indexed under its globally rarest
-    character pairs (as many as the bounds ask for), sides meet on those keys,
-    and only pairs that pass the length and edit-distance bounds are compared in
-    Arrow batches.  Keys common on either side are split there, with the other
-    side's rows copied to each part, so no key is one task's work.
+    Lossless: texts are de-duplicated and banded by length, a text of ``b``
+    goes to the bands its partners may lie in, and a band's texts are dealt into
+    parts of bounded size on either side.  Each two parts meet once, in one
+    task, so no task holds more than two parts whatever the bands' sizes.  The
+    work is a scan of the pairs of similar length, a few bounds each.
     """
     bounds = _Bounds(threshold)
     left, right = _side(a, col), _side(b, col)
     # without texts no partner of the other side can be long or short enough for
     left, right = _within_reach(left, right, bounds), _within_reach(right, left, bounds)
-    grams_a, grams_b = _grams(left, bounds), _grams(right, bounds)
-    in_a, in_b = F.sum("in_a"), F.sum("in_b")
-    usage = (
-        grams_a.select("kind", "gram", F.lit(1).alias("in_a"), F.lit(0).alias("in_b"))
-        .unionByName(grams_b.select("kind", "gram", F.lit(0).alias("in_a"), F.lit(1).alias("in_b")))
-        .groupBy("kind", "gram")
-        .agg(
-            (in_a + in_b).alias("freq"),
-            ((in_a > 0) & (in_b > 0)).alias("shared"),
-            F.greatest(F.lit(1), F.ceil(in_a / F.lit(KEY_ROWS))).cast("int").alias("parts_a"),
-            F.greatest(F.lit(1), F.ceil(in_b / F.lit(KEY_ROWS))).cast("int").alias("parts_b"),
-        )
-    )
-    keys_a = _rarest(grams_a, usage).select(
-        "kind", "gram", F.pmod(F.col("uid"), F.col("parts_a")).cast("int").alias("part_a"),
-        F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)).alias("part_b"),
-        F.col("uid").alias("uid_a"), F.col("len").alias("len_a"), F.col("nth").alias("nth_a"),
-    )
-    keys_b = _rarest(grams_b, usage).select(
-        "kind", "gram", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)).alias("part_a"),
-        F.pmod(F.col("uid"), F.col("parts_b")).cast("int").alias("part_b"),
-        F.col("uid").alias("uid_b"), F.col("len").alias("len_b"), F.col("nth").alias("nth_b"),
-    )
-    len_a, len_b = F.col("len_a"), F.col("len_b")
-    early = (F.col("nth_a") <= bounds.pair_rank(len_a, len_b)) & (F.col("nth_b") <= bounds.pair_rank(len_b, len_a))
-    candidates = (
-        keys_a.join(keys_b, ["kind", "gram", "part_a", "part_b"])
-        .where(bounds.lengths_fit(len_a, len_b) & ((F.col("kind") == "c") | early))
-        .select("uid_a", "uid_b").distinct()
-        .repartition(_parts(a), "uid_a")
-    )
-    texts = (
-        candidates
-        .join(left.select(F.col("uid").alias("uid_a"), F.col("text").alias("text_a")), "uid_a")
-        .join(right.select(F.col("uid").alias("uid_b"), F.col("text").alias("text_b")), "uid_b")
-        .withColumn("len_sum", F.length("text_a") + F.length("text_b"))
-        .withColumn("room", F.floor(F.col("len_sum") * F.lit(1 - bounds.r) + F.lit(1e-9)).cast("int"))
-    )
-    # substitutions count once here and twice in the similarity: a lower bound of the distance
-    near = texts.where(F.expr("levenshtein(text_a, text_b, room)") >= 0)
+    left = left.withColumn("band", bounds.band(F.col("len")))
+    right = right.withColumn("band", F.explode(F.array(*[bounds.band(F.col("len")) + k for k in (-1, 0, 1)])))
+    parts_a, parts_b = _parts(left), _parts(right)
+    # bands only one side has are dropped here: their number of parts is null on the other
+    part = lambda parts: F.pmod(F.xxhash64("text"), parts).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    keys = ["band", "part_a", "part_b"]
+    # the steps behind this are heavy on a small input, so its partitions are not left to be merged by size
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks_a = left.where(parts_b.isNotNull()).select("band", part(parts_a).alias("part_a"), each(parts_b).alias("part_b"), "text").repartition(tasks, *keys)
+    blocks_b = right.where(parts_a.isNotNull()).select("band", each(parts_a).alias("part_a"), part(parts_b).alias("part_b"), "text").repartition(tasks, *keys)
     ship_helpers()
-    lcs = F.pandas_udf(lcs_batch, "int")
-    scored = near.withColumn("lcs", lcs("text_a", "text_b")).withColumn(
-        "score", F.rint(F.lit(200.0) * F.col("lcs") / F.col("len_sum")).cast("int")
-    )
-    return scored.where(F.col("score") >= threshold).select("text_a", "text_b", "score")
+    r = bounds.r
+
+    def meet(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        text_a, text_b = ours.column("text"), theirs.column("text")
+        i, j, score = similar_in_blocks(text_a.to_pylist(), text_b.to_pylist(), threshold, r)
+        return pa.table({
+            "text_a": text_a.take(pa.array(i, pa.int64())), "text_b": text_b.take(pa.array(j, pa.int64())), "score": pa.array(score, pa.int32()),
+        })
+
+    met = blocks_a.groupBy(*keys).cogroup(blocks_b.groupBy(*keys))
+    return met.applyInArrow(meet, "text_a string, text_b string, score int")
 
 
 def _within_reach(df: DataFrame, other: DataFrame, bounds: _Bounds) -> DataFrame:

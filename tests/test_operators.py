@@ -374,3 +374,23 @@ def test_which_test_set_a_run_uses(spark):
     assert {r.set_strategy for r in direct if not r.eval_examplars} == {"direct"}
     assert all(r.own_set == (r.examplars == r.eval_examplars) for r in crossed.values())
     assert all(r.results_name == r.run_id + ("-results" if r.own_set else f"-results-on-{r.test_set}") for r in crossed.values())
+
+
+def test_similar_in_blocks_equals_brute_force():
+    from hopframe.functions.sequence import similar_in_blocks
+
+    rng = random.Random(5)
+    for letters, threshold in (("ab", 80), ("abc dé€😀", 67), ("abcdefgh ", 90), ("ab", 100)):
+        left = ["".join(rng.choice(letters) for _ in range(rng.choice((1, 3, 63, 64, 65, 150)))) for _ in range(60)]
+        right = left[:5] + [t[: len(t) // 2] + rng.choice(letters) + t[len(t) // 2 :] for t in left[:40]]
+        score = lambda x, y: round(200 * lcs_length(x, y) / (len(x) + len(y)))
+        want = {(i, j, score(x, y)) for i, x in enumerate(left) for j, y in enumerate(right) if score(x, y) >= threshold}
+        assert want and set(zip(*similar_in_blocks(left, right, threshold, (threshold - 0.5) / 100))) == want
+
+
+def test_fuzzy_pairs_writes_no_candidates(spark):
+    """Texts of one alphabet share most character pairs; they travel as texts, not as keys or candidates."""
+    a = spark.range(300).selectExpr("concat('the text of number ', id * 7919) AS s")
+    got = ov.fuzzy_pairs(a, a, "s", 95)
+    assert "numbered" not in _plan(got) and "Join" not in _plan(got) and "Window" not in _plan(got)
+    assert got.where("text_a = text_b AND score = 100").count() == 300
