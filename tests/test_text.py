@@ -111,3 +111,14 @@ def test_overlap_of_a_batch_equals_brute_force():
                 a, b = ([stem(w) if stem else w for w in x.split()] for x in (a, b))
                 shared = [(Counter(zip(*[a[i:] for i in range(n)])) & Counter(zip(*[b[i:] for i in range(n)]))).total() for n in (1, 2)]
                 assert tuple(row) == (len(a), len(b), *shared, lcs_length(a, b) if with_lcs else 0)
+
+
+def test_words_are_cut_in_the_arrow_pass(spark):
+    from hopframe.operators import evaluate as ev
+
+    rows = [("a", "The cat,\nsat: DOWN.", "the cat sat down"), ("b", "née 12 Ünder \U0001f600x ", "n e 12 nder x"), ("c", "a-b", "?? !!"), ("d", "KKİ", "kki")]
+    got = ev.rouge(spark.createDataFrame(rows, "id string, target string, response string"), use_stemmer=False)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    found = {r.id: r for r in got.collect()}
+    assert "regexp_replace" not in plan  # a regular expression per row cost more than all the counting
+    assert all(found[k].f1_2 == 1 and found[k].rouge_l == 1 for k in "abd") and found["c"].f1_1 == 0
