@@ -121,4 +121,18 @@ def test_words_are_cut_in_the_arrow_pass(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     found = {r.id: r for r in got.collect()}
     assert "regexp_replace" not in plan  # a regular expression per row cost more than all the counting
-    assert all(found[k].f1_2 == 1 and found[k].rouge_l == 1 for k in "abd") and found["c"].f1_1 == 0
+    assert all(found[k].f1_1 == 1 and found[k].rouge_l == 1 for k in "abd") and found["c"].f1_1 == 0
+
+
+def test_lines_are_stripped_and_answers_found_without_scans_per_character(spark):
+    blanks = [chr(c) for c in (9, 11, 12, 13, *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    raw = "".join(f"{b}{b} x{b}y {b}\n" for b in blanks) + "\n  \n\u200bz\u200b"
+    df = spark.createDataFrame([(raw,), ("",), (None,)], "v string").select(T.strip_lines("v").alias("a"), T.strip("v").alias("b"))
+    lines = "\n".join("".join(x).strip("".join(blanks)) for x in raw.split("\n"))
+    assert [tuple(r) for r in df.collect()] == [(lines, raw.strip("".join(blanks) + "\n")), ("", ""), (None, None)]
+    assert "regexp" not in df._jdf.queryExecution().executedPlan().toString()
+    both = T.extract_answer("v", "response", "text")
+    said = ["so the answer is .", "the answer is a.b.\nanswer is c.", " none ", "", None]
+    got = spark.createDataFrame([(x,) for x in said], "v string").select(both.alias("r"), T.extract_answer("v").alias("e"), T.extract_answer("v", "target").alias("t"))
+    assert [tuple(r) for r in got.collect()] == [("", "", ""), ("a.b", "a.b", "a"), ("none", "", " none "), ("", "", ""), (None, None, None)]
+    assert "RLIKE" not in got._jdf.queryExecution().executedPlan().toString()  # one search per text, not a test and a search
