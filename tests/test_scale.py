@@ -78,3 +78,14 @@ def test_overlap_equals_direct_counts():
         a, b = one.split(), other.split()
         pairs = (Counter(zip(a, a[1:])) & Counter(zip(b, b[1:]))).total()
         assert tuple(row) == (len(a), len(b), (Counter(a) & Counter(b)).total(), pairs, 0)
+
+
+def test_first_batch_of_a_stream_joins_no_earlier_keys(spark, tmp_path):
+    from hopframe.streaming.scores import KeyStore
+
+    rows = spark.createDataFrame([("x", "0"), ("x", "1"), ("y", "0")], "run_id string, id string")
+    store = KeyStore(spark, f"{tmp_path}/keys", 3, 5)
+    assert "Join" not in _plan(store.unseen(rows, 0))
+    store.remember(rows.where("id = '0'"), 0)
+    later = store.unseen(rows, 1)
+    assert [tuple(r) for r in later.collect()] == [("x", "1")] and "bucket" not in later.columns
