@@ -89,3 +89,7 @@ def test_first_batch_of_a_stream_joins_no_earlier_keys(spark, tmp_path):
     store.remember(rows.where("id = '0'"), 0)
     later = store.unseen(rows, 1)
     assert [tuple(r) for r in later.collect()] == [("x", "1")] and "bucket" not in later.columns
+
+
+def test_evaluate_run_makes_its_responses_once(spark, sf):
+    assert "Generate" not in _plan(registry.evaluate_run(spark, sf))
