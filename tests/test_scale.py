@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hopframe.functions import text as T
 from hopframe.functions.sequence import overlap_batch
 from hopframe.operators import analysis as an
+from hopframe.operators import exemplars as exm
 from hopframe.operators import ordering as od
 from hopframe.plans import builds, registry
 
@@ -80,6 +81,14 @@ def test_overlap_equals_direct_counts():
         assert tuple(row) == (len(a), len(b), (Counter(a) & Counter(b)).total(), pairs, 0)
 
 
+def test_drawn_exemplars_come_from_a_stored_pool(spark):
+    rows = spark.range(40).select(F.concat(F.lit("r"), "id").alias("id"), F.lit("P").alias("prompt"), F.lit("T").alias("target"))
+    pool = spark.range(9).select(F.concat(F.lit("e"), "id").alias("id"), F.concat(F.lit("text"), "id").alias("text"))
+    out = exm.with_exemplars(rows, pool, 2, False, 42)
+    assert "Window" not in _plan(out)  # numbered once, not per joined exemplar
+    assert out.count() == 40 and out.where(F.size(F.regexp_extract_all("prompt", F.lit(r"(text\d)"), 1)) == 2).count() == 40
+
+
 def test_first_batch_of_a_stream_joins_no_earlier_keys(spark, tmp_path):
     from hopframe.streaming.scores import KeyStore
 
