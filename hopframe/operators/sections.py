@@ -20,9 +20,11 @@ def prompt_sections(
     """
     counter = counter or token_count
     text = F.col(col)
-    at_examples, at_facts = F.locate("Examples:", text), F.locate("Facts:", text)
+    # columns of their own: each place is sought once, however often the parts refer to it
+    placed = df.withColumns({"__examples": F.locate("Examples:", text), "__facts": F.locate("Facts:", text)})
+    at_examples, at_facts = F.col("__examples"), F.col("__facts")
     tail = F.when(at_facts > 0, F.substring(text, at_facts, F.length(text))).otherwise(text)
-    work = df.withColumn("__tail", tail).withColumn("__q", F.locate("Question:", F.col("__tail")))
+    work = placed.withColumn("__tail", tail).withColumn("__q", F.locate("Question:", F.col("__tail")))
     empty = F.lit("")
     examples = F.when(
         (at_examples > 0) & (at_facts > at_examples),
@@ -36,7 +38,7 @@ def prompt_sections(
     question = F.when(F.col("__q") > 0, F.substring(F.col("__tail"), F.col("__q"), F.length("__tail"))).otherwise(empty)
     out = work.withColumns({
         "examples_part": strip(examples), "facts_part": strip(facts), "question_part": strip(question),
-    }).drop("__tail", "__q")
+    }).drop("__tail", "__q", "__examples", "__facts")
     return out.withColumns({
         f"{p}_tokens": counter(F.col(f"{p}_part")) for p in ("examples", "facts", "question")
     })

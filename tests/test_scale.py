@@ -11,6 +11,7 @@ from hopframe.functions.sequence import overlap_batch
 from hopframe.operators import analysis as an
 from hopframe.operators import exemplars as exm
 from hopframe.operators import ordering as od
+from hopframe.operators import sections as se
 from hopframe.plans import builds, registry
 
 
@@ -89,6 +90,13 @@ def test_drawn_exemplars_come_from_a_stored_pool(spark):
     assert out.count() == 40 and out.where(F.size(F.regexp_extract_all("prompt", F.lit(r"(text\d)"), 1)) == 2).count() == 40
 
 
+def test_places_of_sections_are_sought_once(spark):
+    df = spark.createDataFrame([("Examples:\na\nFacts:\nb\nQuestion: c",), ("Question: only",)], "prompt string")
+    out = se.prompt_sections(df)
+    assert [tuple(r)[1:4] for r in out.collect()] == [("Examples:\na", "Facts:\nb", "Question: c"), ("", "", "Question: only")]
+    assert _plan(out.withColumn("more", F.rand())).count("locate(") == 3
+
+
 def test_first_batch_of_a_stream_joins_no_earlier_keys(spark, tmp_path):
     from hopframe.streaming.scores import KeyStore
 
