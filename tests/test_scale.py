@@ -82,6 +82,16 @@ def test_overlap_equals_direct_counts():
         assert tuple(row) == (len(a), len(b), (Counter(a) & Counter(b)).total(), pairs, 0)
 
 
+def test_runs_meet_in_one_grouping_by_question(spark):
+    df = spark.createDataFrame(
+        [("q1", "a", True), ("q1", "b", False), ("q2", "a", None), ("q2", "a", False), (None, "b", True), ("q3", "other", True)],
+        "id string, run_id string, correct boolean")
+    wide = an.runs_wide(df, ["a", "b"])
+    got = {r["id"]: (r["a"], r["b"]) for r in wide.collect()}
+    assert got == {"q1": (True, False), "q2": (False, None), None: (None, True), "q3": (None, None)}
+    assert _plan(wide).count("Aggregate [") == 1
+
+
 def test_drawn_exemplars_come_from_a_stored_pool(spark):
     rows = spark.range(40).select(F.concat(F.lit("r"), "id").alias("id"), F.lit("P").alias("prompt"), F.lit("T").alias("target"))
     pool = spark.range(9).select(F.concat(F.lit("e"), "id").alias("id"), F.concat(F.lit("text"), "id").alias("text"))
