@@ -10,8 +10,10 @@ from hopframe.functions import text as T
 from hopframe.functions.sequence import overlap_batch
 from hopframe.operators import analysis as an
 from hopframe.operators import exemplars as exm
+from hopframe.operators import facts as fa
 from hopframe.operators import ordering as od
 from hopframe.operators import sections as se
+from hopframe.operators.examples import make_examples, with_token_counts
 from hopframe.plans import builds, registry
 
 
@@ -120,3 +122,52 @@ def test_first_batch_of_a_stream_joins_no_earlier_keys(spark, tmp_path):
 
 def test_evaluate_run_makes_its_responses_once(spark, sf):
     assert "Generate" not in _plan(registry.evaluate_run(spark, sf))
+
+
+def test_forms_of_a_question_leave_from_one_pass(spark, sf):
+    out = registry.hotpot_examples(spark, sf)
+    # the questions are resolved once and their texts measured by bytes in one Arrow pass
+    assert _plan(out).count("element_at(filter(") == 1 and _plan(out).count("ArrowEvalPython") == 1
+    raw = fa.resolve_facts(registry.D.hotpot(spark, sf))[0]
+    for form, kw in (("self_ask", {"entities": registry.D.entities(spark, sf)}), ("direct", {})):
+        apart = make_examples(raw, "hotpot", form, counter=T.token_count, **kw)  # by regular expression
+        cols = [c for c in out.columns if c != "form"]
+        some = out.where(F.col("form") == form).select(cols)
+        assert some.exceptAll(apart.select(cols)).isEmpty() and some.count() == apart.count()
+
+
+def test_texts_measured_by_bytes_equal_patterns(spark):
+    texts = ["", None, "a b\nc.", " a", "a \nb", "a\n\tb", "a\r\nb", "\n", "a\x1f", "a \x1cb c", "x\x00\x7fy", "n\u00e9e 1\u00bd", "\u2003z", "_a-1_", " ", "a\n ", "\U0001f600"]
+    rows = [(str(i), q, a) for i, (q, a) in enumerate(zip(texts, reversed(texts), strict=True))] * 2
+    raw = spark.createDataFrame([(i, q, [a or "", "  f\u00e9 "], a) for i, q, a in rows], "id string, question string, facts array<string>, answer string")
+    for forms in ("direct", ("direct", "squad")):
+        fast, slow = (make_examples(raw.repartition(2), "strategyqa", forms, counter=c) for c in (None, T.token_count))
+        assert fast.schema == slow.schema
+        key = [str(tuple(r)) for r in slow.collect()]
+        assert sorted(str(tuple(r)) for r in fast.collect()) == sorted(key) and len(key) == len(rows) * (1 if forms == "direct" else 2)
+    pairs = spark.createDataFrame(rows, "id string, prompt string, target string")
+    counted = with_token_counts(pairs).collect()
+    assert [tuple(r) for r in counted] == [tuple(r) for r in with_token_counts(pairs, T.token_count).collect()]
+    assert with_token_counts(pairs).select("num_tokens").count() == len(rows)
+    assert with_token_counts(pairs.where("false")).collect() == []
+
+
+def test_measures_of_sliced_batches_equal_brute_force():
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from hopframe.functions.tokens import measure
+
+    draw = random.Random(4)
+    for _ in range(200):
+        chars = "ab1 \n\t\r._\x00" + ("\u00e9\x1d" if draw.random() < 0.3 else "")
+        texts = [None if draw.random() < 0.1 else "".join(draw.choices(chars, k=draw.choice([0, 1, 2, 9]))) for _ in range(draw.choice([0, 1, 30]))]
+        want = [
+            {"tokens": None, "bare": None} if t is None or re.search(r"[^\x00-\x7f]|\x1d", t) else
+            {"tokens": len(re.findall(r"[a-z0-9]+|[^\sa-z0-9]", t)), "bare": all(x == x.strip(" \t\r") for x in t.split("\n"))}
+            for t in texts
+        ]
+        assert measure(pa.array(texts, pa.string())).to_pylist() == want
+        assert measure(pa.array(texts, pa.large_string()).slice(len(texts) // 3)).to_pylist() == want[len(texts) // 3 :]
