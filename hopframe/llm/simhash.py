@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopframe.llm._store import stored
+from hopframe.llm._store import stored, way
 
 SHINGLE, BITS_APART = 3, 2
 RADIUS, BLOCK = 3, 23
@@ -117,11 +117,14 @@ def anchored(prints: DataFrame, threshold: int = BITS_APART) -> DataFrame:
 
 
 def links(prints: DataFrame, threshold: int = BITS_APART) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints within ``threshold`` bits, both ways round; ``prints`` is stored."""
+    """Pairs (a, b) of distinct fingerprints within ``threshold`` bits, both ways round; ``prints`` is stored.
+
+    The copies are some sixty times the fingerprints, which Spark does not see: they are never sent whole.
+    """
     spread = anchored(prints, threshold)
     homes = spread.where("home").select("anchor", F.col("fp").alias("a"))
     copies = spread.select("anchor", F.col("fp").alias("b"))
-    return homes.join(copies, "anchor").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
+    return homes.join(copies.hint("merge"), "anchor").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -132,11 +135,12 @@ def components(edges: DataFrame) -> DataFrame:
     lost executor costs one round.
     """
     labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "components")
+    hint = way(labels)  # no side joined below has more rows
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(near, labels.node == near.a).select("node", F.least("label", "m").alias("next"), F.col("label").alias("was"))
+        near = edges.join(labels.select(F.col("node").alias("b"), "label").hint(hint), "b").groupBy("a").agg(F.min("label").alias("m"))
+        lower = labels.join(near.hint(hint), labels.node == near.a).select("node", F.least("label", "m").alias("next"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("further"))
-        moved = stored(lower.join(jump, "next").select("node", F.least("next", "further").alias("label"), "was"), "components")
+        moved = stored(lower.join(jump.hint(hint), "next").select("node", F.least("next", "further").alias("label"), "was"), "components")
         labels = moved.select("node", "label")
         if moved.where("label <> was").isEmpty():
             return labels.withColumnRenamed("label", "component")
@@ -148,10 +152,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     prints = stored(marked.groupBy("fp").agg(F.min(key).alias("least")), "simhash-prints")
     pairs = stored(links(prints, threshold).distinct(), "simhash-links")
     groups = components(pairs)
-    named = prints.join(groups, prints.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    hint = way(prints)  # there are no more groups than fingerprints
+    named = prints.join(groups.hint(hint), prints.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(first, "component").select("fp", "component_id")
-    return marked.join(classes, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = named.join(first.hint(hint), "component").select("fp", "component_id")
+    return marked.join(classes.hint(hint), "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", grouped=near_duplicates) -> DataFrame:
@@ -168,5 +173,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", grouped=n
     single = docs.groupBy(digest.alias("__text"), own.alias("__own")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
     least = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), digest.alias("__text"), own.alias("__own")))
     of_text = docs.groupBy(digest.alias("__text")).agg(least.alias("best"))
-    chosen = of_text.join(found, "__text").groupBy("__component").agg(F.min("best").alias("best")).select("best.__text", "best.__own")
+    chosen = of_text.join(found.hint("merge"), "__text").groupBy("__component").agg(F.min("best").alias("best")).select("best.__text", "best.__own")
     return single.join(chosen, ["__text", "__own"], "left_semi").select("__row.*")
