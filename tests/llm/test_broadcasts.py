@@ -1,7 +1,9 @@
 """Joins send a table to all executors by its counted rows, not by what Spark takes an explode for."""
 
+from pyspark.sql import functions as F
+
 from hopframe.llm import simhash
-from hopframe.llm._store import stored
+from hopframe.llm._store import join_small, stored, way
 
 
 def _plan(df) -> str:
@@ -14,3 +16,14 @@ def test_copies_of_fingerprints_are_never_sent_whole(spark):
     assert "BroadcastHashJoin" not in _plan(found)
     assert {tuple(r) for r in found.distinct().collect()} == {
         (a, b) for a in (0, 1, 7, 3 << 50) for b in (0, 1, 7, 3 << 50) if a != b and bin(a ^ b).count("1") <= 2}
+
+
+def test_a_dealt_table_is_not_sent_whole(spark):
+    small = stored(spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), "small")
+    left = spark.range(200).select((F.col("id") % 60).alias("k"), "id")
+    joined = join_small(left, small, ["k"], bound=10)
+    assert way(small) == "broadcast" and way(small, 10) == "merge"
+    assert "BroadcastHashJoin" not in _plan(joined)
+    assert {tuple(r) for r in joined.collect()} == {(i % 60, i, i % 60 * 2 if i % 60 < 50 else None) for i in range(200)}
+    semi = join_small(left, small.select("k"), ["k"], "left_semi", bound=10)
+    assert "BroadcastHashJoin" not in _plan(semi) and semi.count() == sum(i % 60 < 50 for i in range(200))
