@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopframe.llm import decontam, mixing, resemblance, sharding, simhash, toxicity
-from hopframe.llm._store import fold, scratch, stored, table
+from hopframe.llm._store import fold, scratch, stored, table, way
 
 # Two stages learn a classifier or compare hashed shingles, which SQL does not have.
 ORACLE_SQL = None
@@ -27,15 +27,15 @@ def linked_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     with scratch(docs.sparkSession) as keep:
         marked = stored(simhash.near_duplicates(docs, key, text).groupBy(key).agg(F.min("component_id").alias("print")), "pipeline-prints")
         alike = resemblance.similar_texts(docs, key, text).groupBy(key).agg(F.min("component_id").alias("alike"))
-        classes = stored(marked.join(alike, key).select(key, "print", "alike"), "pipeline-classes")
+        classes = stored(marked.join(alike.hint("merge"), key).select(key, "print", "alike"), "pipeline-classes")
         # fingerprint classes meet in the class of similar texts they share, at the least of them
         least = classes.groupBy("alike").agg(F.min("print").alias("least"))
-        meet = classes.join(least, "alike").where(F.col("print") != F.col("least")).select("print", "least").distinct()
+        meet = classes.join(least.hint("merge"), "alike").where(F.col("print") != F.col("least")).select("print", "least").distinct()
         edges = stored(meet.select(F.inline(F.array(
             F.struct(F.col("print").alias("a"), F.col("least").alias("b")), F.struct(F.col("least").alias("a"), F.col("print").alias("b")),
         ))).distinct(), "pipeline-edges")
         joined = simhash.components(edges).select(F.col("node").alias("print"), F.col("component"))
-        return keep(classes.join(joined, "print", "left").select(key, F.coalesce("component", "print").alias("component_id")), "pipeline-links")
+        return keep(classes.join(joined.hint(way(joined)), "print", "left").select(key, F.coalesce("component", "print").alias("component_id")), "pipeline-links")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopframe.llm._store import join_small, scratch, stored
+from hopframe.llm._store import join_small, scratch, stored, way
 from hopframe.llm._text import Tokens, chain, lower_table, pack, row_chunks, space_words, text_buffers, unpack
 from hopframe.llm.simhash import components
 
@@ -223,7 +223,7 @@ def _sets(rows: DataFrame, clusters: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["node", "shingles"])
 
     found = join_small(rows, clusters.select("node"), ["node"], "left_semi").select("node", "text").mapInArrow(gather, f"node {kind}, shingles binary")
-    return found.groupBy("node").agg(F.first("shingles").alias("shingles")).join(clusters, "node")
+    return found.groupBy("node").agg(F.first("shingles").alias("shingles")).join(clusters.hint(way(clusters)), "node")
 
 
 def similar_texts(docs: DataFrame, key: str, text: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -233,13 +233,15 @@ def similar_texts(docs: DataFrame, key: str, text: str = "text", least: float =
         marked = stored(_marked(rows), "resemblance-marks")
         spread = marked.select(F.explode("buckets").alias("bucket"), "node")
         met = stored(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "resemblance-buckets")
-        shared = spread.join(met, "bucket").join(marked.select("node", "signature"), "node")
+        # forty rows a text, which Spark takes for one
+        shared = spread.join(met.hint(way(met)), "bucket").join(marked.select("node", "signature").hint("merge"), "node")
         weak = _both_ways(_edges(in_blocks(shared, "bucket", BLOCK), "bucket", "signature", may_be_alike(least)), "resemblance-weak")
         named = stored(components(weak), "resemblance-clusters")
-        clusters = stored(named.join(named.groupBy("component").agg(F.count("*").alias("n")), "component"), "resemblance-clusters")
+        sizes = named.groupBy("component").agg(F.count("*").alias("n"))
+        clusters = stored(named.join(sizes.hint(way(named)), "component"), "resemblance-clusters")
         links = _both_ways(_edges(in_blocks(_sets(rows, clusters), "component", SET_BLOCK), "component", "shingles", are_alike(least)), "resemblance-links")
         groups = components(links)
         return keep(
-            marked.select("node").join(groups, "node", "left").select(F.col("node").alias(key), F.coalesce("component", "node").alias("component_id")),
+            marked.select("node").join(groups.hint(way(groups)), "node", "left").select(F.col("node").alias(key), F.coalesce("component", "node").alias("component_id")),
             "resemblance",
         )
